@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import langid, linededup, packing, simhash
+from gridloom.llm import decontam, htmltext, langid, linededup, packing, quality, secrets, sharding, simhash, urlfilter
 from gridloom.llm.common import read
 
 
@@ -17,11 +17,44 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The shards of the cluster that the corpus is dealt to.
+SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
+#: URL rules, longest first wins.
+RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read(spark, sf_dir, "documents", "doc_id"), "doc_id", SHARDS)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.col("base_spans")
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
     return packing.pack(docs, tokenizer_path(), keep_ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(read(spark, sf_dir, "pages", "page_id", "url"), urlfilter.rules_table(spark, RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.assess(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select(*base, "nearest", "char_distance", "word_distance")
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(read(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), shingle=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -32,6 +65,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+    digest = found.select("doc_id", "n_words", decontam.covered(F.col("hits")).alias("n_hit"), decontam.items_of(F.col("hits")).alias("items"))
+    return digest.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.train(docs.filter(~langid.held_out()).select("text", "lang"))
@@ -40,13 +79,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_secrets": op2_secrets,
     "op3_packing": op3_packing,
+    "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
+    "op6_main_text": op6_main_text,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": r"""
+        with rules(verdict, rhost, rpath) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+            ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        parts as (
+            select page_id,
+                   translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                   regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path
+            from pages),
+        best as (
+            select page_id, arg_max(rhost || rpath, length(rhost || rpath)) as rule,
+                   arg_max(verdict, length(rhost || rpath)) as verdict
+            from parts join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
+            group by page_id)
+        select p.page_id, host, path, b.rule, coalesce(b.verdict, 'allow') as verdict
+        from parts p left join best b on p.page_id = b.page_id""",
     "op8_line_dedup": """
         with lines as (
             select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
