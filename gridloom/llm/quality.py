@@ -47,14 +47,15 @@ _KEYS = [w.encode() for w in _WORDS]
 
 @dataclass(frozen=True)
 class Rules:
-    """least_words, repeat_share: the base rules.  A distance counts from guard_words words on; more than max_chars or
-    max_words of it (for character classes and common words) and the text goes."""
+    """least_words, repeat_share: the base rules.  A text goes if its distance is more than max_chars (character classes,
+    from char_guard words on) or more than max_words (common words, from word_guard words on)."""
 
     least_words: int = 50
     repeat_share: float = 0.5
-    guard_words: int = 100
-    max_chars: float = 0.25
-    max_words: float = 0.62
+    char_guard: int = 100
+    max_chars: float = 0.24
+    word_guard: int = 150
+    max_words: float = 0.30
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[int]]:
@@ -139,7 +140,7 @@ def assess(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 best = (by_char + by_word).argmin(axis=0)
                 at = np.arange(len(n))
                 c, w, nearest = by_char[best, at], by_word[best, at], [names[b] for b in best]
-                odd = (n >= rules.guard_words) & ((c > rules.max_chars) | (w > rules.max_words))
+                odd = ((n >= rules.char_guard) & (c > rules.max_chars)) | ((n >= rules.word_guard) & (w > rules.max_words))
             else:
                 c, w, nearest, odd = np.ones(len(n)), np.ones(len(n)), [None] * len(n), np.zeros(len(n), bool)
             plain = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
