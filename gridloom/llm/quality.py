@@ -108,10 +108,18 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(n[:, 0] > 0, np.sqrt(np.maximum((left + right) / 2, 0)), 1.0)
 
 
-def references(measured: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Histograms of all documents of each language of COMMON_WORDS: sums over all rows, one short row a language."""
-    sums = [F.sum(F.get("chars", i)) for i in range(len(CLASSES))] + [F.sum(F.get("common", i)) for i in range(len(_KEYS) + 1)]
-    rows = measured.filter(F.col("lang").isin(*COMMON_WORDS)).groupBy("lang").agg(F.array(*sums[: len(CLASSES)]).alias("c"), F.array(*sums[len(CLASSES) :]).alias("w")).collect()
+def references(measured: DataFrame, least_words: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Mean histograms of all documents of each language of COMMON_WORDS, one short row a language.
+
+    Every document of at least least_words words counts alike, so a few long odd ones can't bend the reference; shares
+    are added as whole millionths, so their order doesn't matter.
+    """
+    own = measured.filter(F.col("lang").isin(*COMMON_WORDS) & (F.col("n_words") >= least_words))
+    for c in ("chars", "common"):
+        total = F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x)
+        own = own.withColumn("_total", total).withColumn(c, F.transform(c, lambda x: (x * 1_000_000 / F.col("_total")).cast("long")))
+    sums = {c: F.array(*[F.sum(F.get(c, i)) for i in range(n)]) for c, n in (("chars", len(CLASSES)), ("common", len(_KEYS) + 1))}
+    rows = own.groupBy("lang").agg(sums["chars"].alias("c"), sums["common"].alias("w")).collect()
     return {r["lang"]: (np.array(r["c"], float), np.array(r["w"], float)) for r in rows}
 
 
@@ -125,7 +133,7 @@ def assess(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     repeats are fine; columns besides doc_id, text and lang are ignored.
     """
     measured = stored(_measured(docs), "measures")
-    known = references(measured)
+    known = references(measured, rules.least_words)
     names = sorted(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
