@@ -148,7 +148,8 @@ def _features(filename) -> tuple[DataFrame, str, dict[str, DataType]]:
         else:
             types[n] = "string"
     make = {"bigint": int, "double": float, "string": lambda v: v if isinstance(v, str) else json.dumps(v)}
-    data = [(i, *(None if r.get(n) is None else make[types[n]](r[n]) for n in names), r["_rings"]) for i, r in enumerate(rows)]
+    shapes = [[[(float(x), float(y)) for x, y in ring] for ring in r["_rings"]] for r in rows]
+    data = [(i, *(None if r.get(n) is None else make[types[n]](r[n]) for n in names), shapes[i]) for i, r in enumerate(rows)]
     schema = ", ".join(["`priority` bigint", *(f"`{n}` {types[n]}" for n in names), f"`rings` {SCHEMA}"])
     return session().createDataFrame(data, schema), crs_name, kinds
 
