@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The type codes of raster files' common interchange library.
+FILE_CODES = {"uint8": 1, "uint16": 2, "int16": 3, "uint32": 4, "int32": 5, "float32": 6, "float64": 7, "uint64": 12, "int64": 13, "int8": 14}
+
+
 class DataType(enum.Enum):
     """Declared type of a layer's pixels.  Byte is another name of UInt8."""
 
@@ -41,6 +45,16 @@ class DataType(enum.Enum):
         info = np.finfo(self.numpy) if self.is_float else np.iinfo(self.numpy)
         return info.min, info.max
 
+    def to_gdal(self) -> int:
+        return FILE_CODES[self.value]
+
+    @classmethod
+    def of_gdal(cls, code: int) -> DataType:
+        for name, own in FILE_CODES.items():
+            if own == code:
+                return cls(name)
+        raise ValueError(f"no pixel type has code {code}")
+
     @classmethod
     def of_array(cls, array: np.ndarray) -> DataType:
         """The type of an array's elements; ValueError for types that pixels can't have (bool, complex ...)."""

@@ -22,6 +22,8 @@ class Convolved(Data):
     pixel moves about once whatever the kernel's size, and a task holds one tile at a time.
     """
 
+    complete = True
+
     def __init__(self, child: Layer, weights, tile: int = TILE):
         weights = np.asarray(weights, np.float32).astype(np.float64)
         if weights.ndim != 2 or weights.shape[0] != weights.shape[1] or weights.shape[0] % 2 == 0:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,10 @@ from gridloom.plans.geometry import Window
 from gridloom.plans.layer import MISMATCH, Data, Layer, TableLayer, find_union
 
 
+#: Mosaics of more layers aren't checked for gaps.
+MOST_CHECKED = 2000
+
+
 class MosaicEmpty(ValueError):
     """There is nothing to make a mosaic of."""
 
@@ -31,7 +36,20 @@ class Mosaic(Data):
             raise ValueError(MISMATCH)
         self.layers = list(layers)
         super().__init__(find_union(self.layers), self.layers[-1].datatype, None, name)
-        self._members = tuple(self.layers)
+
+    @property
+    def dense(self) -> bool:
+        """True if the layers that fill their areas leave no gap in the whole; then no lattice is needed beside it."""
+        full = [layer.area.window for layer in self.layers if isinstance(layer, TableLayer) and layer.dense and layer.nodata is None]
+        if not full or len(full) > MOST_CHECKED:
+            return False
+        xs = np.unique([x for w in full for x in (w.xoff, w.xend)])
+        ys = np.unique([y for w in full for y in (w.yoff, w.yend)])
+        held = np.zeros((len(ys), len(xs)), bool)
+        for w in full:
+            held[np.searchsorted(ys, w.yoff) : np.searchsorted(ys, w.yend), np.searchsorted(xs, w.xoff) : np.searchsorted(xs, w.xend)] = True
+        own = self.area.window
+        return bool(held[:-1, :-1].all()) and Window(int(xs[0]), int(ys[0]), int(xs[-1] - xs[0]), int(ys[-1] - ys[0])).contains(own)
 
     @property
     def datatype(self) -> DataType:

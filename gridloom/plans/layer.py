@@ -283,6 +283,20 @@ class Layer:
 
         return to_parquet(self, path, nodata, and_sum)
 
+    def save(self, path, area: Area | Layer | None = None, and_sum: bool = False, callback: Callable[[float], None] | None = None) -> float | None:
+        """Write the layer, over ``area`` if one is given: a GeoTIFF file if the name ends so, else a Parquet grid."""
+        layer = self if area is None else self.as_area(area)
+        if str(path).lower().endswith((".tif", ".tiff")):
+            return layer.to_geotiff(path, and_sum, callback=callback)
+        if callback:
+            callback(0.0)
+        out = layer.to_parquet(str(path), and_sum=and_sum)
+        if callback:
+            callback(1.0)
+        return out
+
+    parallel_save = save
+
     def to_geotiff(self, filename, and_sum: bool = False, parallelism=None, callback=None, nodata: float | None = None, sparse: bool = False) -> float | None:
         from gridloom.sources.sinks import layer_to_geotiff
 
@@ -427,7 +441,9 @@ class Formula(Layer):
 class Data(Layer):
     """A leaf with rows: ``pixels`` gives those of a window as (y, x, v); what has no row is 0."""
 
+    #: Every pixel of the layer's area has a row; complete: every pixel of any window that is asked for has one.
     dense = False
+    complete = False
 
     def __init__(self, area: Area, datatype: DataType, nodata: float | None = None, name: str = ""):
         self._own, self._datatype, self._nodata = area, datatype, nodata
@@ -636,7 +652,7 @@ def lower(root: Layer, w: Window, sparse: bool = False) -> tuple[DataFrame, Valu
         parts.append((df, [columns[leaf.key] for leaf in group], full))
     for leaf in others:
         df = leaf.pixels(w).select("y", "x", F.col("v").alias(columns[leaf.key]))
-        parts.append((df, [columns[leaf.key]], leaf.dense and leaf.area.window.contains(w)))
+        parts.append((df, [columns[leaf.key]], leaf.complete or leaf.dense and leaf.area.window.contains(w)))
     for df, names, _ in parts:
         kinds |= {n: kind_of(df, n) for n in names}
 

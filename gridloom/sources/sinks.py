@@ -64,11 +64,12 @@ def bands_to_parquet(bands: Sequence[Layer], path: str, labels: Sequence[str] |
     rows, w = aligned(bands, names, nodata)
     if sparse:
         rows = rows.filter(F.lit(False) if not names else ~F.forall(F.array(*[F.col(n).cast("double") for n in names]), lambda v: v == float(nodata)))
+    rows = rows.repartitionByRange("y").sortWithinPartitions("y", "x")
     total = Observation()
-    if and_sum:
+    if and_sum:  # after the shuffle: its sampling reads what comes before a second time
         first = F.col(names[0]).cast("double")
         rows = rows.observe(total, F.sum(first if nodata is None else F.when(first == float(nodata), F.lit(math.nan)).otherwise(first)).alias("sum"))
-    rows.repartitionByRange("y").sortWithinPartitions("y", "x").write.mode("overwrite").parquet(path)
+    rows.write.mode("overwrite").parquet(path)
     area, p = find_union(bands), bands[0].projection
     text = json.dumps({
         "projection": [p.name, p.xstep, p.ystep], "area": [area.left, area.top, area.right, area.bottom], "nodata": nodata, "dense": not sparse,

@@ -95,3 +95,4 @@ def test_types():
     assert DataType.joint([DataType.UInt64, DataType.Int64]) is DataType.Float64 and DataType.of_literal(3) is DataType.Int64
     with pytest.raises(ValueError):
         DataType.of_array([True])
+    assert all(DataType.of_gdal(t.to_gdal()) is t for t in DataType)

@@ -132,6 +132,22 @@ def test_nodata_and_mosaics(spark):
         g.Mosaic([])
 
 
+def test_mosaics_without_gaps_need_no_grid(spark):
+    tiles = [g.from_array(np.full((2, 3), i), (3 * (i % 2), -2 * (i // 2)), P) for i in range(4)]
+    whole, gap = g.Mosaic(tiles), g.Mosaic(tiles[:3])
+    assert whole.dense and not gap.dense
+    assert "Join" not in whole.frame()._jdf.queryExecution().executedPlan().toString()
+    np.testing.assert_array_equal(whole.array(), np.kron([[0, 1], [2, 3]], np.ones((2, 3))))
+    np.testing.assert_array_equal(gap.array(), np.kron([[0, 1], [2, 0]], np.ones((2, 3))))
+
+
+def test_save(layers, tmp_path):
+    a, seen = layers[0], []
+    assert a.save(f"{tmp_path}/a.parquet", and_sum=True, callback=seen.append) == 36 and seen == [0.0, 1.0]
+    assert a.parallel_save(tmp_path / "a.tif", Area(0, 0, 2, -2, P), and_sum=True) == 14
+    assert g.read_raster(f"{tmp_path}/a.parquet").sum() == 36 and g.read_raster(tmp_path / "a.tif").dimensions == (2, 2)
+
+
 @pytest.mark.parametrize("k", [1, 3, 5])
 def test_convolution(spark, k):
     rng = np.random.default_rng(k)
