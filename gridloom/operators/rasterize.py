@@ -2,7 +2,8 @@
 
 A pixel takes the burn value of the last feature that touches it: whose inside shares more than an edge or a corner
 with the pixel's inside.  Rectangles are exploded with built-in functions; other polygons by a task that walks the
-feature's edges row by row.
+feature's edges row by row.  Features are first dealt to bands of rows: a large one is shared by many tasks, and since
+the pixels of a band are made where its features are, they are merged without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from gridloom.plans.geometry import Area, MapProjection, Window, _covering
 from gridloom.plans.layer import Data
 
 EPS = 1e-9
+#: Rows of a band.
+BAND = 64
 
 
 def touched(rings: Sequence[np.ndarray], y0: int, y1: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -70,7 +73,7 @@ class Shapes(Data):
         p, (dx, dy) = self.projection, self.area.grid_offset
         kind = "double" if self.datatype.is_float else "bigint"
         cells = self._rectangles(w, p, dx, dy) if "left" in self.features.columns else self._polygons(w, p, dx, dy)
-        return cells.groupBy("y", "x").agg(F.max_by("burn", "priority").cast(kind).alias("v"))
+        return cells.groupBy("band", "y", "x").agg(F.max_by("burn", "priority").cast(kind).alias("v")).select("y", "x", "v")
 
     def _rectangles(self, w: Window, p: MapProjection, dx: float, dy: float) -> DataFrame:
         def cells(a: str, b: str, off: float, step: float, first: int, end: int) -> tuple[Column, Column]:
@@ -80,23 +83,37 @@ class Shapes(Data):
         y0, y1 = cells("top", "bottom", dy, p.ystep, w.yoff, w.yend)
         x0, x1 = cells("left", "right", dx, p.xstep, w.xoff, w.xend)
         held = self.features.select("priority", "burn", y0.alias("y0"), y1.alias("y1"), x0.alias("x0"), x1.alias("x1")).filter("y1 >= y0 and x1 >= x0")
-        rows = held.select("priority", "burn", "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y"))
-        return rows.select("priority", "burn", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+        dealt = _banded(held)
+        own = F.sequence(F.greatest("y0", F.col("band") * BAND), F.least("y1", F.col("band") * BAND + (BAND - 1)))
+        rows = dealt.select("priority", "burn", "band", "x0", "x1", F.explode(own).alias("y"))
+        return rows.select("priority", "burn", "band", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
 
     def _polygons(self, w: Window, p: MapProjection, dx: float, dy: float) -> DataFrame:
         xs, ys = p.xstep, p.ystep
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for priority, burn, rings in zip(*(batch.column(c).to_pylist() for c in ("priority", "burn", "rings")), strict=True):
-                    scaled = [np.array([((pt["x"] - dx) / xs, (pt["y"] - dy) / ys) for pt in ring]) for ring in rings or [] if ring]
-                    for row, cols in touched(scaled, w.yoff, w.yend):
+                for priority, burn, band, rings in zip(*(batch.column(c).to_pylist() for c in ("priority", "burn", "band", "rings")), strict=True):
+                    scaled = [np.array([((pt["x"] - dx) / xs, (pt["y"] - dy) / ys) for pt in ring]) for ring in rings if ring]
+                    for row, cols in touched(scaled, max(w.yoff, band * BAND), min(w.yend, (band + 1) * BAND)):
                         cols = cols[(cols >= w.xoff) & (cols < w.xend)]
-                        if len(cols):
-                            yield pa.RecordBatch.from_arrays([pa.array([priority] * len(cols), pa.int64()), pa.array([burn] * len(cols), pa.float64()), pa.array([row] * len(cols), pa.int64()), pa.array(cols)], ["priority", "burn", "y", "x"])
-
-        columns = [F.col("priority").cast("bigint").alias("priority"), F.col("burn").cast("double").alias("burn"), "rings"]
-        return self.features.select(*columns).mapInArrow(run, "priority long, burn double, y long, x long")
+                        if n := len(cols):
+                            columns = [pa.array([priority] * n, pa.int64()), pa.array([burn] * n, pa.float64()), pa.array([band] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array(cols)]
+                            yield pa.RecordBatch.from_arrays(columns, ["priority", "burn", "band", "y", "x"])
+
+        rows = F.transform(F.flatten("rings"), lambda pt: (pt["y"] - dy) / ys)
+        held = self.features.filter("rings is not null and size(rings) > 0").select(
+            F.col("priority").cast("bigint").alias("priority"), F.col("burn").cast("double").alias("burn"), "rings",
+            F.greatest(F.floor(F.array_min(rows)), F.lit(w.yoff)).alias("y0"), F.least(F.ceil(F.array_max(rows)), F.lit(w.yend)).alias("y1"),
+        )
+        dealt = _banded(held.filter("y1 >= y0")).select("priority", "burn", "band", "rings")
+        return dealt.mapInArrow(run, "priority long, burn double, band long, y long, x long")
+
+
+def _banded(features: DataFrame) -> DataFrame:
+    """Each feature once for every band of its rows y0 to y1, dealt out by band."""
+    bands = F.sequence(F.floor(F.col("y0") / BAND), F.floor(F.col("y1") / BAND))
+    return features.withColumn("band", F.explode(bands)).repartition("band")
 
 
 def footprint(left: float, top: float, right: float, bottom: float, projection: MapProjection, anchor: tuple[float, float] = (0.0, 0.0)) -> Area:

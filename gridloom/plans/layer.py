@@ -38,7 +38,7 @@ def within(df: DataFrame, w: Window) -> DataFrame:
 def lattice(w: Window) -> DataFrame:
     """(y, x) of every pixel of a window, made without a scan."""
     cells = session().range(w.xsize * w.ysize)
-    return cells.select((F.floor(F.col("id") / w.xsize) + w.yoff).alias("y"), (F.col("id") % w.xsize + w.xoff).alias("x"))
+    return cells.select(F.expr(f"id div {w.xsize} + {w.yoff}").alias("y"), F.expr(f"id % {w.xsize} + {w.xoff}").alias("x"))
 
 
 def kind_of(df: DataFrame, column: str = "v") -> str:
