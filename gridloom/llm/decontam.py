@@ -13,22 +13,22 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import ascii_lower, joinable, stored
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words.  Splitting at it is several times faster than extracting the words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Terms or anchors up to this number are broadcast (8 to 30 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
     """The words with A-Z lower-cased, in order; none for null."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
     """(doc, th, pos, term): each word of each document; term is a hash, verified later."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    raw = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("th"), F.posexplode(raw).alias("pos", "word"))
-    return rows.select("doc", "th", "pos", F.xxhash64(ascii_lower("word")).alias("term"))
+    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("th"), F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
+    return rows.select("doc", "th", "pos", F.xxhash64("word").alias("term"))
 
 
 def phrases(benchmark: DataFrame, n: int) -> DataFrame:
