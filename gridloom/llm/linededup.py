@@ -22,8 +22,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
 
     Plan: the keys of long lines (hashes only) are stored; two partial aggregates count documents, first by key
     and document, then by key, so that a line of every page reaches no single task; the few frequent
-    keys are joined back (skew-split by adaptive execution) to give each text the positions to drop, and
-    the texts move once, in that last join.
+    keys are stored and joined back (by broadcast if they are small, else by a shuffle that adaptive execution splits
+    where a key is hot) to give each text the positions to drop, and the texts move once, in the last join.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     line = F.trim(F.col("line"), F.lit(SPACE))
@@ -33,7 +33,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     keyed = stored(long_lines.select("doc_id", "th", "pos", F.xxhash64(key).alias("k1"), F.xxhash64(F.lit("line"), key).alias("k2")), "lines")
 
     holders = keyed.groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one"))
-    frequent = holders.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
+    counted = holders.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+    frequent = stored(counted.filter(F.col("n") >= min_docs).drop("n"), "frequent-lines")
     dropped = (
         keyed.join(frequent, ["k1", "k2"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
