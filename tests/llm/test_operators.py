@@ -210,6 +210,8 @@ PAGES = {
     '<div class="header">Top</div><div id="content"><h1>T</h1><p>x<ul><li>a<li>b</ul><div class="comments"><p>no</p></div><form>f</form></div><div class="sidebar">s</div>': "T\n\nx\n\na\n\nb",
     "<body><article><header><h1>T</h1><p>by</p></header><p>x</p><aside>no</aside><section class=comments>no</section></article><div role=banner>b": "T\n\nx",
     "plain &lt;text&gt;": "plain <text>",
+    "<div class='page has-sidebar'><article id=story>x<p hidden>no</p></article><article class=comment>no</article></div>": "x",
+    "<div class=wrap><p>a &am<i>p;</i> &nbsp; b&#233;</p><div class=cookie-notice>no</div></div>": "a &amp; bé",
     "<p>a<!-- no --> b</p><p style='display:none'>no</p><div>c<div>d</div>e</div>": "a b\n\nc\n\nd\n\ne",
     "<": "<", "<p": "<p", "": "", "<div>" * 3000 + "deep": "deep",
 }
