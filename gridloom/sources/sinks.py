@@ -20,8 +20,8 @@ from gridloom.functions.pointwise import Value
 from gridloom.plans.geometry import Window
 from gridloom.plans.layer import MISMATCH, Layer, find_union, lower, session
 
-#: Rows of pixels in a strip of a GeoTIFF file and in a partition's unit of a Parquet grid.
-STRIP = 512
+#: Most rows and most pixels of a strip of a GeoTIFF file, which one task makes at a time.
+STRIP, STRIP_PIXELS = 512, 4_000_000
 
 
 def _stored(value: Value, datatype: DataType, nodata: float | None) -> Column:
@@ -94,7 +94,7 @@ def to_geotiff(filename, bands: Sequence[Layer], labels: Sequence[str] | None =
     names = [f"b{i + 1}" for i in range(len(bands))]
     rows, w = aligned(bands, names, nodata)
     datatype, kind = bands[0].datatype, bands[0].datatype.numpy
-    strip = min(STRIP, w.ysize)
+    strip = max(1, min(STRIP, w.ysize, STRIP_PIXELS // w.xsize))
     per = -(-w.ysize // strip)
     empty = None if nodata is None else float(nodata)
 
