@@ -11,14 +11,14 @@ from gridloom.llm.common import stored
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node passes its larger neighbours on to the smallest node that it knows."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
@@ -27,8 +27,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of the component of each node that has a link.
 
     edges: (u, v), longs, in any direction, repeats allowed.  Groups are never gathered: each round is a min
-    aggregate with partial sums and a join that adaptive execution may split where a node has many links.  Every
-    round is stored in the shared folder, so a lost executor costs at most one round.
+    aggregate with partial results and a join.  The minima are stored before they are joined: the links then come to
+    the join by a shuffle of their own, which adaptive execution splits where a node has many.  Every round is
+    stored in the shared folder, so a lost executor costs at most one round.
     """
     now = stored(edges.filter("u <> v").distinct(), "links")
     state = None
