@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import discard, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node passes its larger neighbours on to the smallest node that it knows."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every node passes its larger neighbours on to the smallest node that it knows.  Also the stored minima."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every node links itself and its smaller neighbours to the smallest of them."""
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every node links itself and its smaller neighbours to the smallest of them.  Also the stored minima."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    return moved.union(least.select("u", F.col("m").alias("v"))), least
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -34,7 +34,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = stored(edges.filter("u <> v").distinct(), "links")
     state = None
     for _ in range(max_rounds):
-        now = stored(_small_star(_large_star(now)).filter("u <> v").distinct(), "links")
+        large, least1 = _large_star(now)
+        small, least2 = _small_star(large)
+        before, now = now, stored(small.filter("u <> v").distinct(), "links")
+        discard(before, least1, least2)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == state:
             break
