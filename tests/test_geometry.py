@@ -96,3 +96,31 @@ def test_types():
     with pytest.raises(ValueError):
         DataType.of_array([True])
     assert all(DataType.of_gdal(t.to_gdal()) is t for t in DataType)
+
+
+def _areas():
+    from hypothesis import strategies as st
+
+    cell = st.integers(-50, 50)
+    off = st.sampled_from([0.0, 1.0, -2.0, 4.0])
+    return st.builds(lambda x, y, w, h, dx, dy: Area.of_window(Window(x, y, w, h), P, (dx, dy)), cell, cell, st.integers(1, 40), st.integers(1, 40), off, off)
+
+
+def test_area_algebra():
+    from hypothesis import given, settings
+
+    @settings(max_examples=200, deadline=None)
+    @given(_areas(), _areas(), _areas())
+    def laws(a, b, c):
+        assert a | b == b | a and (a | b).window == (b | a).window
+        assert ((a | b) | c).window == (a | (b | c)).window
+        assert (a | b).window.contains(a.window) and (a | b).window.contains(b.window)
+        shared = Window.shared([a.window, b.window])
+        if shared is None:
+            with pytest.raises(ValueError):
+                a & b
+        else:
+            assert (a & b).window == shared == (b & a).window and a.overlaps(b)
+        assert (a & a) == a and (a | a) == a and a & Area.world() == a
+
+    laws()
