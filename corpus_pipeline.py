@@ -30,10 +30,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, and of rows that repeat it one."""
+    """Of each group of near copies the document with the smallest id stays, and of rows that repeat it one.
+
+    The keepers grow with the corpus, so they are joined by a merge at every size; the texts move once.
+    """
     found = simhash.near_duplicates(docs)
-    keepers = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keeper")).distinct()
-    return docs.join(keepers, F.col("doc_id").eqNullSafe(F.col("_keeper")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    own = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keepers = stored(own.groupBy(F.col("doc_id").alias("_keeper")).agg(F.count("*").alias("_rows")), "keepers")
+    kept = docs.join(keepers.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keeper")), "left_semi").select(*COLUMNS)
+    repeats = keepers.filter("_rows > 1")
+    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
