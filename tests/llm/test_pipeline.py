@@ -59,6 +59,12 @@ def test_stages(spark, folder):
     assert set(whole) == set(expected)
 
 
+def test_rows_that_repeat_an_id_stay_once(spark):
+    rows = [(1, "one two three four five six", "en", "s", 5), (1, "one two three four five six", "en", "s", 5), (None, "quite another text of some words", "en", "s", 5), (2, "and a third one that is not like them", "en", "s", 5)]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 2]
+
+
 def test_no_documents(spark, folder, tmp_path):
     path, _, _ = folder
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
