@@ -108,19 +108,38 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(n[:, 0] > 0, np.sqrt(np.maximum((left + right) / 2, 0)), 1.0)
 
 
+def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """A column of arrays of one length as (rows, length)."""
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
 def references(measured: DataFrame, least_words: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean histograms of all documents of each language of COMMON_WORDS, one short row a language.
+    """Mean histograms of all documents of each language of COMMON_WORDS.
 
     Every document of at least least_words words counts alike, so a few long odd ones can't bend the reference; shares
-    are added as whole millionths, so their order doesn't matter.
+    are added as whole millionths, so their order doesn't matter.  Each task emits one sum for each language and bin.
     """
+    bins = len(CLASSES) + len(_KEYS) + 1
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [_matrix(batch, c) for c in ("chars", "common")]
+            rows = np.hstack([p * 1_000_000 // np.maximum(p.sum(axis=1, keepdims=True), 1) for p in parts])
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            for lang in set(langs):
+                sums[lang] = sums.get(lang, 0) + rows[langs == lang].sum(axis=0)
+        for lang, n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * bins, pa.string()), pa.array(range(bins), pa.int32()), pa.array(n, pa.int64())], ["lang", "bin", "n"])
+
     own = measured.filter(F.col("lang").isin(*COMMON_WORDS) & (F.col("n_words") >= least_words))
-    for c in ("chars", "common"):
-        total = F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x)
-        own = own.withColumn("_total", total).withColumn(c, F.transform(c, lambda x: (x * 1_000_000 / F.col("_total")).cast("long")))
-    sums = {c: F.array(*[F.sum(F.get(c, i)) for i in range(n)]) for c, n in (("chars", len(CLASSES)), ("common", len(_KEYS) + 1))}
-    rows = own.groupBy("lang").agg(sums["chars"].alias("c"), sums["common"].alias("w")).collect()
-    return {r["lang"]: (np.array(r["c"], float), np.array(r["w"], float)) for r in rows}
+    rows = own.select("lang", "chars", "common").mapInArrow(shares, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
+    out = {lang: np.zeros(bins) for lang in {r["lang"] for r in rows}}
+    for r in rows:
+        out[r["lang"]][r["bin"]] = r["n"]
+    return {lang: (n[: len(CLASSES)], n[len(CLASSES) :]) for lang, n in out.items()}
 
 
 def assess(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -138,7 +157,9 @@ def assess(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chars, common = (np.array(batch.column(c).to_pylist(), float).reshape(batch.num_rows, -1) for c in ("chars", "common"))
+            if not batch.num_rows:
+                continue
+            chars, common = (_matrix(batch, c).astype(float) for c in ("chars", "common"))
             n = batch.column("n_words").to_numpy()
             repeat = batch.column("n_repeat_words").to_numpy()
             failed = (n < rules.least_words) | (100 * repeat > 100 * rules.repeat_share * n)
