@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, langid, linededup, packing, simhash
+from gridloom.llm import decontam, jaccard, langid, linededup, packing
 from gridloom.llm.common import read, stored
 from gridloom.llm.queries import tokenizer_path
 
@@ -32,9 +32,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays, and of rows that repeat it one.
 
+    Near copies share at least 0.8 of their runs of five words, by exact Jaccard similarity.
     The keepers grow with the corpus, so they are joined by a merge at every size; the texts move once.
     """
-    found = simhash.near_duplicates(docs)
+    found = jaccard.near_duplicates(docs)
     own = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keepers = stored(own.groupBy(F.col("doc_id").alias("_keeper")).agg(F.count("*").alias("_rows")), "keepers")
     kept = docs.join(keepers.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keeper")), "left_semi").select(*COLUMNS)
