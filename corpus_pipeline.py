@@ -44,9 +44,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
-    found = decontam.find(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
-    return found.filter(F.size("hits") == 0).select(*COLUMNS)
+    """Documents that hold ten consecutive words of a benchmark item, or most of them close together, go."""
+    found = decontam.find(docs, read(spark, sf_dir, "benchmark", "item_id", "text"), slop=decontam.SLOP)
+    return found.filter((F.size("hits") == 0) & (F.size("near") == 0)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

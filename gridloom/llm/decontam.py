@@ -3,7 +3,9 @@
 Every run of ``n`` words of a benchmark item is a phrase.  Words are counted over the corpus; the two rarest terms of
 each phrase are its anchors.  The postings (document, position) of the anchors are stored, a phrase's two lists are
 intersected after taking off the terms' offsets, and the few places that are left are verified against the
-document's words.  Only built-in functions are used.
+document's words.  Near matches may lack some words, so they are looked for at so many of a phrase's rarest terms that
+one of them is there, and held against the words around at once: no list of theirs is shuffled.  Only built-in
+functions are used.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from gridloom.llm.common import ascii_lower, joinable, stored
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Terms or anchors up to this number are broadcast (8 to 30 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Words that the queries let a near match go beyond a phrase's length on either side.
+SLOP = 2
+#: Words of a document that are looked at in one piece for near matches.
+PIECE = 256
 
 
 def words_of(text: Column) -> Column:
@@ -39,12 +45,37 @@ def phrases(benchmark: DataFrame, n: int) -> DataFrame:
     return runs.groupBy(F.array_join("run", " ").alias("phrase"), F.size("run").alias("size")).agg(F.collect_set("item").alias("items"))
 
 
+def _least(size: Column, overlap: float) -> Column:
+    """How many of ``size`` distinct words a near match holds at least."""
+    return F.ceil(size * overlap - 1e-9)
+
+
+def _near(docs: DataFrame, table: DataFrame, terms: DataFrame, counts: DataFrame, n: int, slop: int, overlap: float) -> DataFrame:
+    """(doc, th, pid, start) where the terms of a phrase are near, still to be verified by words."""
+    known = terms.join(counts, "term", "left").select("pid", "size", "off", "term", F.coalesce("count", F.lit(0)).alias("count"))
+    ranked = known.withColumn("rank", F.dense_rank().over(Window.partitionBy("pid").orderBy("count", "term")))
+    own = terms.groupBy("pid").agg(F.collect_set("term").alias("own"))
+    anchors = ranked.join(own, "pid").filter(F.col("rank") <= F.size("own") - _least(F.size("own"), overlap) + 1)
+    anchors = stored(anchors.filter("count > 0").select("term", "pid", "off", "size", "own", _least(F.size("own"), overlap).alias("least")), "near-anchors")
+
+    reach = n + 2 * slop
+    words = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).filter(F.size("w") > 0)
+    cut = words.select("doc", "th", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(PIECE))).alias("from"))
+    pieces = cut.select("doc", "th", "from", F.slice("w", F.col("from") + 1, PIECE).alias("part"), F.greatest(F.col("from") - reach, F.lit(0)).alias("base"), F.slice("w", F.greatest(F.col("from") - reach, F.lit(0)) + 1, PIECE + 2 * reach).alias("around"))
+    at = pieces.select("doc", "th", "from", "base", "around", F.posexplode("part").alias("pos", "term"))
+    met = at.join(joinable(anchors, BROADCAST_ROWS // 10), "term").withColumn("start", F.col("from") + F.col("pos") - F.col("off"))
+    first = F.greatest(F.col("start") - slop, F.lit(0)) - F.col("base") + 1
+    close = F.size(F.array_intersect(F.slice("around", first, F.col("size") + 2 * slop), F.col("own"))) >= F.col("least")
+    return met.filter(close).select("doc", "th", "pid", "start")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int | None = None, overlap: float = 0.8) -> DataFrame:
     """``docs`` with n_words, hits and near (columns of these names are replaced).
 
     hits: exact matches, an array of (start, size, phrase, items), start in words from 0.  near: with ``slop``,
     the places that are no exact match but hold, within the phrase's length and ``slop`` words on either side of
-    where its rarest term puts it, at least ``overlap`` of its distinct words; else empty.
+    where one of its rarest terms puts it, at least ``overlap`` of its distinct words; else empty.  The rarest terms are
+    so many that no place can lack them all; words that are nowhere in the corpus count as rarest.
 
     docs needs doc_id and text, benchmark item_id and text.  A null text has no words; items without words have no
     phrases; a null item_id names no item; items that repeat share phrases; rows that repeat a doc_id are judged
@@ -64,9 +95,10 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int | None =
     postings = stored(_tokens(docs).join(wanted, "term"), "postings")
 
     placed = postings.join(joinable(anchors, BROADCAST_ROWS), "term").select("doc", "th", "pid", (F.col("pos") - F.col("off")).alias("start"), "rank", "anchors")
-    met = placed.groupBy("doc", "th", "pid", "start").agg(F.countDistinct("rank").alias("lists"), F.min("rank").alias("rank"), F.first("anchors").alias("anchors"))
-    exact = (F.col("lists") == F.col("anchors")) & (F.col("start") >= 0)
-    places = met.filter(exact if slop is None else exact | (F.col("rank") == 1))
+    met = placed.groupBy("doc", "th", "pid", "start").agg(F.countDistinct("rank").alias("lists"), F.first("anchors").alias("anchors"))
+    places = met.filter((F.col("lists") == F.col("anchors")) & (F.col("start") >= 0)).select("doc", "th", "pid", "start")
+    if slop is not None:
+        places = places.union(_near(docs, table, terms, counts, n, slop, overlap)).distinct()
     named = places.join(joinable(table, BROADCAST_ROWS // 10), "pid")
     of_doc = named.groupBy(F.col("doc").alias("_bd_doc"), F.col("th").alias("_bd_th")).agg(F.collect_list(F.struct("start", "size", "phrase", "items")).alias("_bd_places"))
 
@@ -86,7 +118,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int | None =
         def close(p: Column) -> Column:
             first = F.greatest(p["start"] - slop, F.lit(0)) + 1
             own = F.array_distinct(F.split(p["phrase"], " "))
-            return ~same(p) & (F.size(F.array_intersect(F.slice(words, first, p["size"] + 2 * slop), own)) >= F.ceil(F.size(own) * overlap))
+            return ~same(p) & (F.size(F.array_intersect(F.slice(words, first, p["size"] + 2 * slop), own)) >= _least(F.size(own), overlap))
 
         near = F.coalesce(F.filter("_bd_places", close), none)
     return judged.select(*rest, F.size(words).cast("long").alias("n_words"), hits.alias("hits"), near.alias("near"))

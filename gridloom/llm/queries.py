@@ -66,9 +66,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.find(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
-    digest = found.select("doc_id", "n_words", decontam.covered(F.col("hits")).alias("n_hit"), decontam.items_of(F.col("hits")).alias("items"))
-    return digest.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found = decontam.find(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"), slop=decontam.SLOP)
+    digest = found.select("doc_id", "n_words", decontam.covered(F.col("hits")).alias("n_hit"), decontam.items_of(F.col("hits")).alias("items"), F.size("near").cast("long").alias("n_near"))
+    return digest.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
