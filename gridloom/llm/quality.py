@@ -2,7 +2,8 @@
 
 A text's histogram over character classes and its histogram over the most common words of a language are held against
 the same histograms of all documents in that language by Jensen-Shannon distance (0 to 1).  A text is judged by
-the language that it is nearest to, so a wrong label does no harm; distances of short texts are noise and don't count.
+the language that it is nearest to, so a wrong label does no harm; distances of short texts scatter more, so more is
+allowed to them.
 """
 
 from __future__ import annotations
@@ -47,14 +48,16 @@ _KEYS = [w.encode() for w in _WORDS]
 
 @dataclass(frozen=True)
 class Rules:
-    """least_words, repeat_share: the base rules.  A text goes if its distance is more than max_chars (character classes,
-    from char_guard words on) or more than max_words (common words, from word_guard words on)."""
+    """least_words, repeat_share: the base rules.  A text goes if its distance is more than max_chars (character classes;
+    under char_guard words short_chars) or more than max_words (common words; under word_guard words short_words)."""
 
     least_words: int = 50
     repeat_share: float = 0.5
     char_guard: int = 100
+    short_chars: float = 0.28
     max_chars: float = 0.24
     word_guard: int = 150
+    short_words: float = 0.35
     max_words: float = 0.30
 
 
@@ -169,7 +172,7 @@ def assess(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 best = (by_char + by_word).argmin(axis=0)
                 at = np.arange(len(n))
                 c, w, nearest = by_char[best, at], by_word[best, at], [names[b] for b in best]
-                odd = ((n >= rules.char_guard) & (c > rules.max_chars)) | ((n >= rules.word_guard) & (w > rules.max_words))
+                odd = (c > np.where(n < rules.char_guard, rules.short_chars, rules.max_chars)) | (w > np.where(n < rules.word_guard, rules.short_words, rules.max_words))
             else:
                 c, w, nearest, odd = np.ones(len(n)), np.ones(len(n)), [None] * len(n), np.zeros(len(n), bool)
             plain = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
