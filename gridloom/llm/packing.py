@@ -7,7 +7,8 @@ time of ``(2k + 1) / (2 * weight_s)``, and grants go out in the order of these t
 queues).  Credits run on over the ends of windows, and a queue is never as much as a grant away from its share
 by more than the others' rounding.  A queue that is empty leaves the round and the others share its part.
 
-The number of grants that go out before a given one is a sum of one division for each queue.  The state of the round
+The number of grants that go out before a given one is a sum of one division for each queue, or for each kind of
+queues that have the same weight and number of grants: of these there are few, however many queues.  The state of the round
 at any point is thus known without replaying it, and deficits carry over partitions as over windows: a task
 only needs the place of its first token in each queue.
 
@@ -18,7 +19,7 @@ few counts, and cut the stored tokens into pieces.  Tokens are never shuffled.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import joinable, stored
 
-MAX_QUEUES = 256
+#: From more different (weight, grants) of queues on, they are counted in arrays.
+FEW_KINDS = 48
 BROADCAST_ROWS = 500_000
 
 
@@ -50,7 +52,19 @@ class Schedule:
         self.weights = self.grants if weights is None else [int(w) for w in weights]
         if any(w < 0 for w in self.weights):
             raise ValueError("weights must not be negative")
-        self.others = [[(i, self.weights[i], n) for i, n in enumerate(self.grants) if n and self.weights[i] and i != s] for s in range(len(self.totals))]
+        # queues of one weight and number of grants are due at the same times: they are counted together
+        alike: dict[tuple[int, int], list[int]] = {}
+        for i, (w, n) in enumerate(zip(self.weights, self.grants, strict=True)):
+            if w and n:
+                alike.setdefault((w, n), []).append(i)
+        self.kinds = list(alike)
+        self.members = list(alike.values())
+        most = (2 * max(self.grants, default=0) + 2) * max(self.weights, default=0)
+        self.arrays = None
+        if len(self.kinds) > FEW_KINDS and most < 1 << 61:
+            flat = np.concatenate([np.array(m) + g * len(self.totals) for g, m in enumerate(self.members)])
+            self.arrays = (*np.array(self.kinds, np.int64).T, flat, np.cumsum([0, *map(len, self.members)]))
+        self.sides: tuple[int, object] = (-1, None)
         first = sum(n for n, w in zip(self.grants, self.weights, strict=True) if w)
         self.late = []
         for n, w in zip(self.grants, self.weights, strict=True):
@@ -73,11 +87,33 @@ class Schedule:
         w = self.weights[queue]
         if not w:
             return self.late[queue] + k
-        before, odd = k, 2 * k + 1
-        for i, other, n in self.others[queue]:  # those due earlier; of those due at the same time, the queues before
-            due = (odd * other + w - (i > queue)) // (2 * w)
-            before += due if due < n else n
-        return before
+        before, odd, sides = k, 2 * k + 1, self._sides(queue)
+        # those due earlier; of those due at the same time, the queues before
+        if self.arrays is None:
+            for other, n, less, more in sides:
+                due = odd * other + w
+                before += less * min(due // (2 * w), n) + more * min((due - 1) // (2 * w), n)
+            return before
+        others, n, *_ = self.arrays
+        due = odd * others + w
+        return before + int((sides[0] * np.minimum(due // (2 * w), n) + sides[1] * np.minimum((due - 1) // (2 * w), n)).sum())
+
+    def _sides(self, queue: int):
+        """How many queues of each kind come before and after a queue."""
+        if self.sides[0] == queue:
+            return self.sides[1]
+        own = (self.weights[queue], self.grants[queue])
+        if self.arrays is None:
+            out = []
+            for (w, n), m in zip(self.kinds, self.members, strict=True):
+                less = bisect_left(m, queue)
+                out.append((w, n, less, len(m) - less - ((w, n) == own)))
+        else:
+            others, n, flat, cuts = self.arrays
+            less = np.searchsorted(flat, np.arange(len(n)) * len(self.totals) + queue) - cuts[:-1]
+            out = (less, np.diff(cuts) - less - ((others == own[0]) & (n == own[1])))
+        self.sides = (queue, out)
+        return out
 
     def place(self, queue: int, at: int, length: int) -> Iterator[tuple[int, int, int, int]]:
         """(tokens before it, length, sequence, offset) for the pieces of ``length`` tokens at ``at`` of a queue."""
@@ -186,13 +222,9 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame
 
 
 def _queue_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text, queue.  A null source is a queue too; sources beyond MAX_QUEUES share queues by hash."""
+    """doc_id, text, queue: one queue for each source.  A null source is a queue too."""
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
-    rows = docs.select("doc_id", "text", source.alias("queue"))
-    distinct = rows.select("queue").distinct().limit(MAX_QUEUES + 1).count()
-    if distinct > MAX_QUEUES:
-        rows = rows.withColumn("queue", F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES))))
-    return rows
+    return docs.select("doc_id", "text", source.alias("queue"))
 
 
 def pack(
@@ -214,7 +246,7 @@ def pack(
     counts = table.groupBy("pid", "queue").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("pid", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-    totals = {r["queue"]: r["n"] for r in counts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES rows
+    totals = {r["queue"]: r["n"] for r in counts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row for each source
     names = sorted(totals)
     shares = None if weights is None else [int(weights.get(q[1:], 0)) if q[0] == "=" else 0 for q in names]
     schedule = Schedule([totals[q] for q in names], shares, window, grain)
