@@ -68,7 +68,7 @@ class Reprojected(Data):
 
     With the same coordinate system every source pixel is dealt to the target pixels that it overlaps, by its shares,
     and one aggregate makes the targets; for Nearest each target takes the source pixel under its centre.  Across
-    coordinate systems, source pixels are split into 4 x 4 points that are mapped forward, or where targets are
+    coordinate systems, source pixels are split into 4 x 4 points (more where these would leave targets out) that are mapped forward, or where targets are
     smaller than sources, target centres are mapped back.  Integer ratios of steps are exact.
     """
 
@@ -150,6 +150,39 @@ class Reprojected(Data):
 
         return points.mapInArrow(run, "y long, x long, v double, my long, mx long")
 
+    def _split(self, rows: DataFrame, frm: MapProjection, to: MapProjection, least: int) -> DataFrame:
+        """(y, x, v, w) in the other lattice of least x least points of each pixel, or where these leave targets out, of so many
+        more along an axis that neighbours lie at most half a target apart; w: the point's share of the pixel."""
+
+        def ends(x, y):
+            mx, my = crs.transform(frm.name, to.name, x * frm.xstep, y * frm.ystep)
+            return mx / to.xstep, my / to.ystep
+
+        def apart(x, y, dx, dy):
+            (ax, ay), (bx, by) = ends(x, y), ends(x + dx, y + dy)
+            far = np.stack([np.abs(ax - bx), np.abs(ay - by)])
+            return np.where(np.isfinite(far), far, 0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                y, x, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "v"))
+                # along each edge, in quarters: the longest counts
+                across = np.max([apart(x + i / 4, y + j, 0.25, 0) for i in range(4) for j in (0, 0.5, 1)], axis=0) * 4
+                down = np.max([apart(x + i, y + j / 4, 0, 0.25) for j in range(4) for i in (0, 0.5, 1)], axis=0) * 4
+                holes = (across + down).max(axis=0) > least  # else least x least points leave no target out
+                nx, ny = (np.where(holes & (d > least / 2), np.ceil(2 * d), least).astype(np.int64) for d in (across.max(axis=0), down.max(axis=0)))
+                for px, py in np.unique(np.stack([nx, ny]), axis=1).T.tolist() if len(x) else []:
+                    own = (nx == px) & (ny == py)
+                    ox, oy, ov = x[own], y[own], v[own]
+                    for i in range(px):
+                        for j in range(py):
+                            mx, my = ends(ox + (i + 0.5) / px, oy + (j + 0.5) / py)
+                            ok = np.isfinite(mx) & np.isfinite(my)
+                            cell = [np.floor(m[ok] + 1e-9).astype(np.int64) for m in (my, mx)]
+                            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (*cell, ov[ok], np.full(int(ok.sum()), 1.0 / (px * py)))], ["y", "x", "v", "w"])
+
+        return rows.mapInArrow(run, "y long, x long, v double, w double")
+
     def _warped(self, rows: DataFrame, w: Window) -> DataFrame:
         from gridloom.plans.layer import lattice
 
@@ -162,6 +195,4 @@ class Reprojected(Data):
                 return found.select("y", "x", "v")
             shares = Over.partitionBy("my", "mx")
             return found.select("y", "x", (F.col("v") / F.count("*").over(shares)).alias("v"))
-        parts = 4
-        points = self._mapped(rows, self.source, self.target, parts)
-        return resampled(points.select(F.col("my").alias("y"), F.col("mx").alias("x"), "v", F.lit(1.0 / parts**2).alias("w")), self.method)
+        return resampled(self._split(rows, self.source, self.target, 4), self.method)
