@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +22,8 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    On a cluster it is ``spark.checkpoint.dir``.  Only where that is unset (a local session, tests) a
-    temporary folder of this machine is made and kept as the session's checkpoint folder.
+    On a cluster it is ``spark.checkpoint.dir``, or the folder that was given to ``setCheckpointDir``.  Only where both
+    are unset in a local session (tests) a temporary folder of this machine is made and kept as that folder.
     """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
@@ -29,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
         current = sc.getCheckpointDir()
     return current
@@ -58,14 +62,39 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (it is counted, never collected)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+#: Largest table that is broadcast, by its values' bytes.
+BROADCAST_BYTES = 64 << 20
 
 
-def joinable(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it is proven to have at most ``max_rows`` rows, else as it is."""
-    return F.broadcast(df) if small(df, max_rows) else df
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row's values take."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    parts = [F.octet_length(F.col(f"`{c}`")) if k in ("string", "binary") else F.octet_length(F.to_json(F.struct(f"`{c}`"))) if k in ("array", "struct", "map") else F.lit(8) for c, k in kinds.items()]
+    return sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0))
+
+
+def small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows and ``max_bytes`` of values (they are summed up, never collected)."""
+    n, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(_bytes(df))).first()
+    return n <= max_rows and (size or 0) <= max_bytes
+
+
+def joinable(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it is proven to be no larger than this, else as it is."""
+    return F.broadcast(df) if small(df, max_rows, max_bytes) else df
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names like ``names`` that no column of ``taken`` has."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        own = f"_{name}"
+        while own.lower() in used:
+            own = f"_{own}"
+        used.add(own.lower())
+        out.append(own)
+    return out
 
 
 def ascii_lower(col: Column | str) -> Column:
