@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, jaccard, langid, linededup, packing
+from gridloom.llm import decontam, langid, linededup, packing, simhash
 from gridloom.llm.common import read, stored
+from gridloom.llm.jaccard import text_hash
 from gridloom.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,17 +31,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, and of rows that repeat it one.
+    """Of each group of near copies one document stays: that with the smallest id, and of several texts with that id one.
 
-    Near copies share at least 0.8 of their runs of five words, by exact Jaccard similarity.
-    The keepers grow with the corpus, so they are joined by a merge at every size; the texts move once.
+    Near copies have SimHash fingerprints that differ in at most 4 bits, or share at least 0.8 of their runs of five words, by
+    exact Jaccard similarity.  Rows that repeat an id are told apart by their texts; of rows with one id and text the least
+    stays.  The keepers grow with the corpus, so they are joined by a merge at every size; the texts move once.
     """
-    found = jaccard.near_duplicates(docs)
-    own = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keepers = stored(own.groupBy(F.col("doc_id").alias("_keeper")).agg(F.count("*").alias("_rows")), "keepers")
-    kept = docs.join(keepers.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keeper")), "left_semi").select(*COLUMNS)
-    repeats = keepers.filter("_rows > 1")
-    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id"])
+    own = simhash.near_copies(docs, shingle=5, percent=80).filter("first")
+    keepers = stored(own.groupBy(F.col("doc_id").alias("_keeper"), F.col("th").alias("_th")).agg(F.count("*").alias("_rows")), "keepers")
+    same = F.col("doc_id").eqNullSafe(F.col("_keeper")) & (text_hash() == F.col("_th"))
+    kept = docs.join(keepers.hint("merge"), same, "left_semi").select(*COLUMNS)
+    if keepers.filter("_rows > 1").isEmpty():
+        return kept  # nothing to choose from
+    once = kept.groupBy("doc_id", text_hash().alias("_th")).agg(F.min(F.struct(*COLUMNS)).alias("_row"))
+    return once.select(*[F.col("_row")[c].alias(c) for c in COLUMNS])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

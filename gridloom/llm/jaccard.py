@@ -1,45 +1,44 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, with prefix filtering.
+"""Links between texts of a given Jaccard similarity of word shingles, by prefix filtering; it completes SimHash.
 
 Under any fixed order of shingles, two sets of similarity t or more share one of the first ``n - ceil(t * n) + 1`` of each.
 So sets meet under their first shingles only, and no pair is missed.  The order is that of the hashes, but shingles
-that many sets have come last.  Where many sets still meet, they are near copies for the most part: all are held
+that many sets have come last: which these are is estimated from a part of the texts, and as any order is right, that
+changes how many sets meet, but no result.  Where many sets still meet, they are near copies for the most part: all are held
 against one of them first, and then only those that are not in one component yet are held against each other.
+
+Pairs that meet are held against each other by their complete fingerprints first: 256 bits, of which sets of similarity t
+differ in few.  What is left is verified on the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import joinable, stored
 from gridloom.llm.components import components
+from gridloom.llm.shingles import lower_words, majority, remixed, shingle_hashes
 
-#: Shingles in the prefixes of more sets than this come last in the order.
+#: Shingles in the prefixes of more sets than this come last in the order, by an estimate from one text in SAMPLE.
 OFTEN = 64
+SAMPLE = 8
 #: In buckets up to this size all pairs are held against each other at once.
 SMALL = 32
 BROADCAST_ROWS = 200_000
+#: 64-bit parts of the fingerprints that pairs are held against each other by; sets of fewer than WIDE_SETS shingles aren't.
+WIDE = 4
+WIDE_SETS = 32
 
+SIGNS = "doc_id long, th long, fp long, sh long, size int, prefix array<long>, " + ", ".join(f"w{i} long" for i in range(WIDE))
 
-def shingles(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted distinct XXH64 values of all runs of ``shingle`` words (of a shorter text all its words); none without words."""
-    import xxhash
 
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(joined, seed)], np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _least(n, percent: int):
@@ -47,34 +46,72 @@ def _least(n, percent: int):
     return -(-n * percent // 100)
 
 
-def _signed(docs: DataFrame, shingle: int, percent: int, late: np.ndarray) -> DataFrame:
-    """(doc_id, th, sh, size, prefix): hash of the text, of its set, the set's size and first shingles."""
+def most_apart(percent: int) -> int:
+    """Bits that complete fingerprints of sets of this similarity don't differ in more than: 8 standard deviations over the mean."""
+    j = percent / 100
+    p, n = acos(2 * j / (1 + j)) / pi, 64 * WIDE
+    return int(n * p + 8 * sqrt(n * p * (1 - p)))
+
+
+def _prefix(own: np.ndarray, percent: int, late: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set; the late ones (sorted) come last."""
+    if len(late):
+        last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
+        own = np.r_[own[~last], own[last]]
+    return own[: len(own) - _least(len(own), percent) + 1]
+
+
+def _often(docs: DataFrame, shingle: int, seed: int, percent: int) -> np.ndarray:
+    """Sorted shingles that many sets have in their prefixes, no more than BROADCAST_ROWS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
+        for batch in batches:
+            parts = [_prefix(np.unique(shingle_hashes(lower_words(t), shingle, seed)), percent, none) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *parts]).view(np.int64))], ["key"])
+
+    part = docs.select("text", text_hash().alias("th")).filter(F.pmod("th", F.lit(SAMPLE)) == 0).dropDuplicates(["th"]).select("text")
+    counts = part.mapInArrow(run, "key long").groupBy("key").count().filter(F.col("count") * SAMPLE > OFTEN)
+    rows = counts.orderBy(F.desc("count"), "key").limit(BROADCAST_ROWS).collect()
+    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+
+
+def signs(docs: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
+    """SIGNS of every row: hash of the text, SimHash fingerprint, hash of the set of its shingles, the set's size, first
+    shingles (null where the task has given those of the same set before) and complete fingerprint."""
+    late = _often(docs, shingle, seed, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        given: set[int] = set()
         for batch in batches:
-            hashes, sizes, prefixes = [], [], []
+            fps, sets, sizes, prefixes, wide = [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                own = shingles(text, shingle)
-                hashes.append(xxhash.xxh64_intdigest(own.tobytes(), 1))
+                every = shingle_hashes(lower_words(text), shingle, seed)
+                own = np.unique(every)
+                fps.append(majority(every))
+                sets.append(xxhash.xxh64_intdigest(own.tobytes(), 1))
                 sizes.append(len(own))
-                if len(late):
-                    last = np.isin(own, late)
-                    own = np.r_[own[~last], own[last]]
-                prefixes.append(own[: len(own) - _least(len(own), percent) + 1].view(np.int64))
-            ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
+                wide.append([majority(remixed(own, i)) for i in range(WIDE)])
+                if sets[-1] in given:
+                    prefixes.append(None)
+                    continue
+                if len(given) > 100_000:
+                    given.clear()
+                given.add(sets[-1])
+                prefixes.append(_prefix(own, percent, late).view(np.int64))
+            signed = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
+            ends = np.cumsum([0, *(0 if p is None else len(p) for p in prefixes)], dtype=np.int32)
+            values = np.concatenate([np.zeros(0, np.int64), *(p for p in prefixes if p is not None)])
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([p is None for p in prefixes], pa.bool_()))
+            parts = np.array(wide, np.uint64).reshape(-1, WIDE)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("th"), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), prefix],
-                ["doc_id", "th", "sh", "size", "prefix"],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("th"), signed(fps), signed(sets), pa.array(sizes, pa.int32()), prefix, *(signed(parts[:, i]) for i in range(WIDE))],
+                ["doc_id", "th", "fp", "sh", "size", "prefix", *(f"w{i}" for i in range(WIDE))],
             )
 
-    return docs.select("doc_id", "text", _text_hash().alias("th")).mapInArrow(run, "doc_id long, th long, sh long, size int, prefix array<long>")
-
-
-def _text_hash():
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.select("doc_id", "text", text_hash().alias("th")).mapInArrow(run, SIGNS)
 
 
 def _meet(percent: int):
@@ -130,8 +167,15 @@ def _pairs(u, v, key) -> pa.RecordBatch:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays key, size, sh, root (sh where there is none) of rows sorted by key, cut between keys only."""
+    """Arrays key, size, sh, root (sh where there is none) of rows sorted by key, size and sh, each set once under a key,
+    cut between keys only."""
     held: list[list[np.ndarray]] = []
+
+    def whole() -> tuple[np.ndarray, ...]:
+        key, size, sh, root = (np.concatenate(p) for p in zip(*held, strict=True))
+        once = np.r_[True, (key[1:] != key[:-1]) | (sh[1:] != sh[:-1])]
+        return key[once], size[once], sh[once], root[once]
+
     for batch in batches:
         names = ("key", "size", "sh", "root" if "root" in batch.schema.names else "sh")
         part = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
@@ -140,20 +184,24 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
         last = int(np.searchsorted(part[0], part[0][-1]))  # this bucket may go on
         if last or (held and held[-1][0][-1] != part[0][0]):
             held.append([p[:last] for p in part])
-            yield tuple(np.concatenate(p) for p in zip(*held, strict=True))
+            yield whole()
             held = []
         held.append([p[last:] for p in part])
     if held:
-        yield tuple(np.concatenate(p) for p in zip(*held, strict=True))
+        yield whole()
 
 
-def _similar(pairs: DataFrame, signs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (u, v) of sets whose similarity is percent / 100 or more."""
-    pairs = stored(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("sh")).distinct()
-    texts = stored(signs.select("sh", "th").join(nodes, "sh").groupBy("sh").agg(F.min("th").alias("th")), "pair-texts")
-    own = docs.select("text", _text_hash().alias("th")).join(joinable(texts, BROADCAST_ROWS), "th").groupBy("sh").agg(F.first("text").alias("text"))
-    own = stored(own, "pair-docs")
+def _verified(pairs: DataFrame, sets: DataFrame, known: DataFrame, docs: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) of sets that aren't in one component of ``known`` and whose similarity is percent / 100 or more."""
+    own = sets.join(known, sets.sh == known.node, "left").select("sh", "size", "th", F.coalesce("root", "sh").alias("root"), *[f"w{i}" for i in range(WIDE)])
+    left, right = (own.select(*[F.col(c).alias(f"{side}_{c}") for c in own.columns]) for side in "uv")
+    met = pairs.filter("u <> v").distinct().join(left, F.col("u") == F.col("u_sh")).join(right, F.col("v") == F.col("v_sh"))
+    apart = sum((F.bit_count(F.col(f"u_w{i}").bitwiseXOR(F.col(f"v_w{i}"))) for i in range(WIDE)), F.lit(0))
+    near = met.filter((F.col("u_root") != F.col("v_root")) & ((F.least("u_size", "v_size") < WIDE_SETS) | (apart <= most_apart(percent))))
+    pairs = stored(near.select("u", "v", F.col("u_th").alias("ut"), F.col("v_th").alias("vt")), "pairs")
+    wanted = stored(pairs.select(F.explode(F.array("ut", "vt")).alias("th")).distinct(), "pair-texts")
+    texts = docs.select("text", text_hash().alias("th")).join(joinable(wanted, BROADCAST_ROWS), "th").groupBy("th").agg(F.first("text").alias("text"))
+    texts = stored(texts, "pair-docs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +211,7 @@ def _similar(pairs: DataFrame, signs: DataFrame, docs: DataFrame, shingle: int,
                 if text not in seen:
                     if len(seen) > 1000:
                         seen.clear()
-                    seen[text] = shingles(text, shingle)
+                    seen[text] = np.unique(shingle_hashes(lower_words(text), shingle, seed))
                 return seen[text]
 
             keep = []
@@ -173,46 +221,26 @@ def _similar(pairs: DataFrame, signs: DataFrame, docs: DataFrame, shingle: int,
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(own.select(F.col("sh").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("sh").alias("v"), F.col("text").alias("b")), "v")
+    both = pairs.join(texts.select(F.col("th").alias("ut"), F.col("text").alias("a")), "ut").join(texts.select(F.col("th").alias("vt"), F.col("text").alias("b")), "vt")
     return stored(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs``.
+def links(docs: DataFrame, signs: DataFrame, sets: DataFrame, known: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
+    """(u, v): links between sets of a Jaccard similarity of percent / 100 or more that, with those that made ``known``, leave
+    the same components as all links.
 
-    Texts are linked if the sets of their shingles have a Jaccard similarity of percent / 100 or more; component_id is
-    the smallest doc_id that links reach, itself included.  Texts without words have one empty set and are copies
-    of each other.  Rows that repeat a doc_id have their own texts, and a null doc_id is never the smallest unless a
-    component has no other.  Other columns are ignored; an empty table gives no rows.
+    signs: of the rows of docs, stored.  sets: (sh, size, th, w0, ...), one row a set, stored.  known: (node, root), the
+    components that are known already: their members aren't held against each other.
     """
-    none = np.zeros(0, np.uint64)
-    signs = stored(_signed(docs, shingle, percent, none), "signs")
-
-    def entries(signs: DataFrame) -> DataFrame:
-        sets = signs.groupBy("sh").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-        return sets.select(F.explode("prefix").alias("key"), "size", "sh")
-
-    flat = stored(entries(signs), "entries")
-    often = flat.groupBy("key").count().filter(F.col("count") > OFTEN).select("key")
-    late = np.array([r["key"] for r in often.orderBy(F.desc("key")).limit(BROADCAST_ROWS).collect()], np.int64).view(np.uint64)
-    if len(late):  # any order is right, so any part of them will do
-        keys = F.broadcast(docs.sparkSession.createDataFrame([(int(k),) for k in late.view(np.int64)], "key long"))
-        changed = stored(flat.join(keys, "key").select("sh").distinct(), "changed")
-        again = signs.join(changed, "sh").groupBy("sh").agg(F.min("th").alias("th"))
-        texts = docs.select("doc_id", "text", _text_hash().alias("th")).join(joinable(again.select("th"), BROADCAST_ROWS), "th", "left_semi").dropDuplicates(["th"])
-        flat = stored(flat.join(changed, "sh", "left_anti").select("key", "size", "sh").unionByName(entries(_signed(texts, shingle, percent, late))), "entries")
-
     order = ["key", "size", "sh"]
+    flat = signs.select(F.explode("prefix").alias("key"), "size", "sh")
     met = stored(flat.repartition("key").sortWithinPartitions(*order).mapInArrow(_meet(percent), "u long, v long, open long"), "met")
-    links = _similar(met.filter("open is null").select("u", "v"), signs, docs, shingle, percent)
-    opened = met.filter("open is not null").select(F.col("open").alias("key"))
-    roots = stored(components(links), "jaccard-roots")
-    if not opened.isEmpty():
-        rest = flat.join(opened, "key").join(roots, flat.sh == roots.node, "left").select(*order, F.coalesce("root", "sh").alias("root"))
-        more = rest.repartition("key").sortWithinPartitions(*order).mapInArrow(_cross(percent), "u long, v long, open long").select("u", "v")
-        roots = stored(components(links.union(_similar(more, signs, docs, shingle, percent))), "jaccard-roots")
-
-    firsts = stored(signs.groupBy("sh").agg(F.min("doc_id").alias("first")), "firsts")
-    of = stored(firsts.join(roots, firsts.sh == roots.node, "left").select("sh", F.coalesce("root", "sh").alias("root"), "first"), "roots")
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return signs.select("doc_id", "sh").join(of.join(least, "root").select("sh", "component_id"), "sh").select("doc_id", "component_id")
+    found = _verified(met.filter("open is null").select("u", "v"), sets, known, docs, shingle, seed, percent)
+    opened = met.filter("open is not null").select(F.col("open").alias("key")).distinct()
+    if opened.isEmpty():
+        return found
+    tree = known.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = stored(components(tree.union(found)), "jaccard-roots")
+    rest = flat.join(joinable(opened, BROADCAST_ROWS), "key").join(roots, flat.sh == roots.node, "left").select(*order, F.coalesce("root", "sh").alias("root"))
+    more = rest.repartition("key").sortWithinPartitions(*order).mapInArrow(_cross(percent), "u long, v long, open long").select("u", "v")
+    return found.union(_verified(more, sets, roots, docs, shingle, seed, percent))

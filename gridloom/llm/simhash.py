@@ -4,6 +4,9 @@ Fingerprints are cut into segments.  Two that differ in at most ``distance`` bit
 ``distance // segments`` bits of one segment, so each fingerprint is filed under its segments and looked up under all
 values of the small Hamming ball round each; what meets in a bucket is verified over all 64 bits.  Of two values one
 is smaller, so only the ball's members that are not larger than the own value are looked up.
+
+A few bits of 64 are less than what near copies of a given Jaccard similarity may differ in, and balls of that radius are too
+large to enumerate.  Where such a similarity is asked for, the links between fingerprints are completed by ``jaccard``.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import jaccard
 from gridloom.llm.common import stored
 from gridloom.llm.components import components
+from gridloom.llm.shingles import lower_words, majority, shingle_hashes
 
 BITS = 64
 #: Buckets above this many entries are linked through shared midpoints instead of comparing their members.
@@ -25,36 +30,12 @@ HEAVY = 50_000
 #: From this many distinct fingerprints on, two segments make fewer candidates than three.
 TWO_SEGMENTS = 1 << 26
 
-_SPREAD = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], np.uint64)
-
-
-def simhash(words: list[bytes], shingle: int, seed: int = 42) -> int:
-    """Unsigned 64-bit fingerprint: a bit is set if more than half of the shingles' XXH64 values have it."""
-    import xxhash
-
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
-    digest = xxhash.xxh64_intdigest
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
-    n = len(hashes)
-    octets = np.zeros((-(-n // 255) * 255, 8), np.uint8)
-    octets[:n] = hashes.view(np.uint8).reshape(n, 8)
-    counts = np.concatenate([_SPREAD[octets[:, j]].reshape(-1, 255).sum(axis=1).astype("<u8").view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64) for j in range(8)])
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
-
-
 def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the fingerprint of every text as a signed long.  A null text has no words: fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [simhash((t or "").encode().lower().split(), shingle, seed) for t in batch.column("text").to_pylist()]
+            out = [majority(shingle_hashes(lower_words(t), shingle, seed)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -205,3 +186,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 4, seed:
     of = stored(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "roots")
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, distance: int = 4, percent: int = 80, seed: int = 42) -> DataFrame:
+    """(doc_id, th, fp, component_id, first) for every row of ``docs``: near-duplicates by fingerprints and by similarity.
+
+    Texts are linked if their fingerprints differ in at most ``distance`` bits or the sets of their shingles have a Jaccard
+    similarity of percent / 100 or more.  component_id is the smallest doc_id that links reach, itself included; first is
+    true for the rows with that id and, of several texts with that id in the component, the one of the smallest hash.
+    th is the XXH64 of the text (null: empty), so that (doc_id, th) tells texts apart that share an id.  Texts
+    without words have one empty set and are copies of each other.  A null doc_id is never the smallest unless a
+    component has no other.  Very long texts are compared whole.  Other columns are ignored; an empty table gives no rows.
+    """
+    signs = stored(jaccard.signs(docs, shingle, seed, percent), "signs")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    others = ["size", *[f"w{i}" for i in range(jaccard.WIDE)]]
+    sets = stored(signs.groupBy("sh").agg(F.min(row).alias("row"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in others]), "sets")
+
+    prints = stored(signs.groupBy("fp", "sh").agg(F.lit(1).alias("one")).select("fp", "sh"), "fingerprints")
+    roots = components(links(prints.select("fp").distinct(), distance))
+    of = stored(prints.join(roots, prints.fp == roots.node, "left").select("sh", F.coalesce("root", "fp").alias("root")), "roots")
+    least = of.groupBy("root").agg(F.min("sh").alias("v"))
+    tree = stored(of.join(least, "root").select(F.col("sh").alias("u"), "v").filter("u <> v").distinct(), "tree")
+    known = stored(components(tree), "known")
+
+    every = tree.union(jaccard.links(docs, signs, sets, known, shingle, seed, percent))
+    roots = components(every)
+    of = stored(sets.join(roots, sets.sh == roots.node, "left").select("sh", F.coalesce("root", "sh").alias("root"), "row"), "roots")
+    firsts = of.groupBy("root").agg(F.min("row").alias("least"))
+    met = signs.select("doc_id", "th", "fp", "sh").join(of.join(firsts, "root").select("sh", "least"), "sh")
+    first = F.col("doc_id").eqNullSafe(F.col("least")["doc_id"]) & (F.col("th") == F.col("least")["th"])
+    return met.select("doc_id", "th", "fp", F.col("least")["doc_id"].alias("component_id"), first.alias("first"))

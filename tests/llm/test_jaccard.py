@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from gridloom.llm import jaccard
+from gridloom.llm import jaccard, simhash
+from gridloom.llm.shingles import majority, remixed
+from tests.llm import brute
 from tests.llm.test_operators import ODD, components_of, empty, made_up, rows
 
 
@@ -24,19 +27,27 @@ def plain(texts):
     for t in texts:
         w = (t or "").encode().lower().split()
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    near = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    prints = [int(p, 16) for p, _ in brute.components(list(enumerate(texts)), shingle=5).values()]
+    near = [
+        (i, j)
+        for i in range(len(sets))
+        for j in range(i + 1, len(sets))
+        if (prints[i] ^ prints[j]).bit_count() <= 4 or sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+    ]
     return dict(enumerate(range(len(texts)))) | {i: g[0] for g in components_of(near) for i in g}
 
 
-@pytest.mark.parametrize(("small", "often"), [(32, 64), (2, 3)])
-def test_components_agree_with_all_pairs(spark, monkeypatch, small, often):
-    monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "OFTEN", often)
+@pytest.mark.parametrize(("small", "often", "sample"), [(32, 64, 8), (2, 3, 1)])
+def test_components_agree_with_all_pairs(spark, monkeypatch, small, often, sample):
+    for name, value in (("SMALL", small), ("OFTEN", often), ("SAMPLE", sample)):
+        monkeypatch.setattr(jaccard, name, value)
     texts = [*ODD, *copies(7)]
     expected = plain(texts)
     assert len(set(expected.values())) < len(texts) - 20
-    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(rows(spark, texts)).collect()} == expected
-    assert jaccard.near_duplicates(empty(spark)).count() == 0
+    out = simhash.near_copies(rows(spark, texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == expected
+    assert {r["doc_id"] for r in out if r["first"]} == set(expected.values())
+    assert simhash.near_copies(empty(spark)).count() == 0
 
 
 def test_the_stage_finds_copies_of_similarity_0_8(spark):
@@ -44,3 +55,16 @@ def test_the_stage_finds_copies_of_similarity_0_8(spark):
     docs = rows(spark, texts).selectExpr("doc_id", "text", "lang", "source", "length(text) n_chars")
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert kept == set(plain(texts).values())
+
+
+def test_complete_fingerprints_leave_no_similar_pair_out():
+    rng, worst = random.Random(1), 0
+    for n in [32, 33, 40, 64, 100, 400] * 60:
+        every = [rng.getrandbits(64) for _ in range(2 * n)]
+        gone = rng.randint(0, n // 5)
+        more = max(0, min(int((n - gone) / 0.8) - n, n))
+        a, b = np.array(every[:n], np.uint64), np.array(every[gone : n + more], np.uint64)
+        assert 10 * (n - gone) >= 8 * (n + more)
+        wide = [[majority(remixed(x, i)) for i in range(jaccard.WIDE)] for x in (a, b)]
+        worst = max(worst, sum((x ^ y).bit_count() for x, y in zip(*wide, strict=True)))
+    assert worst <= jaccard.most_apart(80) - 10

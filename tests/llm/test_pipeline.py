@@ -60,9 +60,16 @@ def test_stages(spark, folder):
 
 
 def test_rows_that_repeat_an_id_stay_once(spark):
-    rows = [(1, "one two three four five six", "en", "s", 5), (1, "one two three four five six", "en", "s", 5), (None, "quite another text of some words", "en", "s", 5), (2, "and a third one that is not like them", "en", "s", 5)]
+    rows = [(1, "one two three four five six", "en", "s", 5), (1, "one two three four five six", "en", "r", 5), (None, "quite another text of some words", "en", "s", 5), (2, "and a third one that is not like them", "en", "s", 5)]
     out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
-    assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 2]
+    assert sorted((r["doc_id"] or 0, r["source"]) for r in out.collect()) == [(0, "s"), (1, "r"), (2, "s")]
+
+
+def test_one_id_with_several_texts(spark):
+    a, b = "one two three four five six seven", "quite another text of some more words"
+    rows = [(0, a), (1, a), (1, b), (2, b), (2, a), (3, b), (1, None)]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA), "")
+    assert sorted((r["doc_id"], r["text"] or "") for r in out.collect()) == [(0, a), (1, ""), (1, b)]
 
 
 def test_no_documents(spark, folder, tmp_path):
