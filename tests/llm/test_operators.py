@@ -228,15 +228,6 @@ def test_main_text(spark):
     assert htmltext.main_text(df.limit(0)).count() == 0
 
 
-def test_wrappers():
-    page = lambda paragraphs, note: "<body><nav>n</nav>" + ("<div class=teaser>t</div>" if note else "") + "<article><h1>h</h1>" + "<p>some text</p>" * paragraphs + "</article>"
-    forms = [htmltext.form_of(htmltext.parse(page(n, note))) for n, note in ((1, False), (5, True), (3, False))]
-    assert len(forms[0]) == len(forms[2])
-    wrapper = htmltext.align(htmltext.align(forms[0], forms[1]), forms[2])
-    assert htmltext.expression(wrapper) == "<body !nav <div.teaser? #? >? <article <h1 # > <p+ #+ >+ > >"
-    assert htmltext.region_of(wrapper) == "article"
-
-
 # --------------------------------------------------------------------------------------------------------- simhash
 def near_copies(seed):
     rng, out = random.Random(seed), []
