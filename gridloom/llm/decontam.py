@@ -1,11 +1,12 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Every run of ``n`` words of a benchmark item is a phrase.  Words are counted over the corpus; the two rarest terms of
-each phrase are its anchors.  The postings (document, position) of the anchors are stored, a phrase's two lists are
-intersected after taking off the terms' offsets, and the few places that are left are verified against the
-document's words.  Near matches may lack some words, so they are looked for at so many of a phrase's rarest terms that
+Every run of ``n`` words of a benchmark item is a phrase.  Words are counted over the corpus.  Of each phrase so many of the
+rarest terms are its anchors that they would hardly meet by chance, two at least.  The index holds the postings
+(document, position) of the anchors alone: no other list is ever read.  A phrase's lists are intersected after taking
+off the terms' offsets, and the few places that are left are verified against the words of the few documents that have them.
+Near matches may lack some words, so they are looked for at so many of a phrase's rarest terms that
 one of them is there, and held against the words around at once: no list of theirs is shuffled.  Only built-in
-functions are used.
+functions are used.  Texts are shuffled only if the documents with places are too many to be broadcast by their ids.
 """
 
 from __future__ import annotations
@@ -13,16 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_lower, joinable, stored
+from gridloom.llm.common import ascii_lower, fresh, joinable, stored
 
 #: What stands between words.  Splitting at it is several times faster than extracting the words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Terms or anchors up to this number are broadcast (8 to 30 bytes each); more are joined by shuffle.
+#: Terms, anchors, phrases and documents up to this number (and BROADCAST_BYTES) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Words that the queries let a near match go beyond a phrase's length on either side.
 SLOP = 2
 #: Words of a document that are looked at in one piece for near matches.
 PIECE = 256
+PLACES = "array<struct<start:int,size:int,phrase_id:bigint>>"
 
 
 def words_of(text: Column) -> Column:
@@ -52,8 +54,8 @@ def _least(size: Column, overlap: float) -> Column:
 
 def _near(docs: DataFrame, table: DataFrame, terms: DataFrame, counts: DataFrame, n: int, slop: int, overlap: float) -> DataFrame:
     """(doc, th, pid, start) where the terms of a phrase are near, still to be verified by words."""
-    known = terms.join(counts, "term", "left").select("pid", "size", "off", "term", F.coalesce("count", F.lit(0)).alias("count"))
-    ranked = known.withColumn("rank", F.dense_rank().over(Window.partitionBy("pid").orderBy("count", "term")))
+    known = terms.join(counts, "term", "left").select("pid", "size", "off", "word", "term", F.coalesce("count", F.lit(0)).alias("count"))
+    ranked = known.withColumn("rank", F.dense_rank().over(Window.partitionBy("pid").orderBy("count", "word")))
     own = terms.groupBy("pid").agg(F.collect_set("term").alias("own"))
     anchors = ranked.join(own, "pid").filter(F.col("rank") <= F.size("own") - _least(F.size("own"), overlap) + 1)
     anchors = stored(anchors.filter("count > 0").select("term", "pid", "off", "size", "own", _least(F.size("own"), overlap).alias("least")), "near-anchors")
@@ -69,67 +71,104 @@ def _near(docs: DataFrame, table: DataFrame, terms: DataFrame, counts: DataFrame
     return met.filter(close).select("doc", "th", "pid", "start")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int | None = None, overlap: float = 0.8) -> DataFrame:
-    """``docs`` with n_words, hits and near (columns of these names are replaced).
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
-    hits: exact matches, an array of (start, size, phrase, items), start in words from 0.  near: with ``slop``,
-    the places that are no exact match but hold, within the phrase's length and ``slop`` words on either side of
-    where one of its rarest terms puts it, at least ``overlap`` of its distinct words; else empty.  The rarest terms are
-    so many that no place can lack them all; words that are nowhere in the corpus count as rarest.
 
-    docs needs doc_id and text, benchmark item_id and text.  A null text has no words; items without words have no
-    phrases; a null item_id names no item; items that repeat share phrases; rows that repeat a doc_id are judged
-    by their own text; empty tables are fine; other columns pass through.
-    """
-    rest = [c for c in docs.columns if c.lower() not in ("n_words", "hits", "near")]
-    table = stored(phrases(benchmark, n).withColumn("pid", F.monotonically_increasing_id()), "phrases")
-    terms = table.select("pid", "size", F.posexplode(F.split("phrase", " ")).alias("off", "word")).select("pid", "size", "off", F.xxhash64("word").alias("term"))
-    vocabulary = joinable(terms.select("term").distinct(), BROADCAST_ROWS)
-    counts = stored(_tokens(docs).select("term").join(vocabulary, "term").groupBy("term").count(), "term-counts")
+def _anchors(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """(term, pid, off, size, rank, anchors): the rarest terms of the phrases whose words all occur.
 
+    They are so many that chance would let them meet at one place of the corpus at most, two at least.
+    """
     per_phrase = Window.partitionBy("pid")
     known = terms.join(counts, "term").withColumn("found", F.count("*").over(per_phrase)).filter("found = size")  # else a word is nowhere
-    ranked = known.withColumn("rank", F.row_number().over(per_phrase.orderBy("count", "off"))).filter("rank <= 2")
-    anchors = stored(ranked.select("term", "pid", "off", "rank", F.least("size", F.lit(2)).alias("anchors")), "anchors")
+    whole = counts.agg(F.coalesce(F.sum("count"), F.lit(1))).first()[0]
+    by_rank = per_phrase.orderBy("count", "off")
+    chance = F.sum(F.log(F.col("count") / whole)).over(by_rank.rowsBetween(Window.unboundedPreceding, -1)) + F.log(F.lit(float(whole)))
+    ranked = known.withColumn("rank", F.row_number().over(by_rank)).withColumn("chance", chance)
+    return ranked.filter((F.col("rank") <= 2) | (F.col("chance") > 0)).withColumn("anchors", F.count("*").over(per_phrase)).select("term", "pid", "off", "size", "rank", "anchors")
+
+
+def _exact(docs: DataFrame, table: DataFrame, terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc, th, hits): the documents with exact matches, hits an array of (start, size, phrase_id)."""
+    anchors = stored(_anchors(terms, counts), "anchors")
     wanted = joinable(anchors.select("term").distinct(), BROADCAST_ROWS)
     postings = stored(_tokens(docs).join(wanted, "term"), "postings")
+    placed = postings.join(joinable(anchors, BROADCAST_ROWS), "term").select("doc", "th", "pid", (F.col("pos") - F.col("off")).alias("start"), "size", "rank", "anchors")
+    met = placed.groupBy("doc", "th", "pid", "start").agg(F.countDistinct("rank").alias("lists"), F.first("anchors").alias("anchors"), F.first("size").alias("size"))
+    places = met.filter((F.col("lists") == F.col("anchors")) & (F.col("start") >= 0)).select("doc", "th", "pid", "start", "size")
+    phrase = table.select("pid", *[h.alias(f"h{i}") for i, h in enumerate(_hashes(F.col("phrase")))])
+    of_doc = places.join(joinable(phrase, BROADCAST_ROWS), "pid").groupBy("doc", "th").agg(F.collect_list(F.struct("start", "size", "pid", "h0", "h1")).alias("places"))
+    of_doc = stored(of_doc, "places")
 
-    placed = postings.join(joinable(anchors, BROADCAST_ROWS), "term").select("doc", "th", "pid", (F.col("pos") - F.col("off")).alias("start"), "rank", "anchors")
-    met = placed.groupBy("doc", "th", "pid", "start").agg(F.countDistinct("rank").alias("lists"), F.first("anchors").alias("anchors"))
-    places = met.filter((F.col("lists") == F.col("anchors")) & (F.col("start") >= 0)).select("doc", "th", "pid", "start")
-    if slop is not None:
-        places = places.union(_near(docs, table, terms, counts, n, slop, overlap)).distinct()
-    named = places.join(joinable(table, BROADCAST_ROWS // 10), "pid")
-    of_doc = named.groupBy(F.col("doc").alias("_bd_doc"), F.col("th").alias("_bd_th")).agg(F.collect_list(F.struct("start", "size", "phrase", "items")).alias("_bd_places"))
-
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.select(*rest).join(of_doc, F.col("doc_id").eqNullSafe(F.col("_bd_doc")) & (F.xxhash64(text) == F.col("_bd_th")), "left")
-    judged = joined.withColumn("_bd_words", words_of(F.col("text")))
-    words = F.col("_bd_words")
+    texts = docs.select(F.col("doc_id").alias("id"), "text", _text_hash().alias("own"))
+    met = texts.join(joinable(of_doc, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("th")))
+    words = met.select("doc", "th", "places", words_of(F.col("text")).alias("words"))
 
     def same(p: Column) -> Column:
-        return (p["start"] >= 0) & (F.array_join(F.slice(words, F.greatest(p["start"], F.lit(0)) + 1, p["size"]), " ") == p["phrase"])
+        h0, h1 = _hashes(F.array_join(F.slice("words", p["start"] + 1, p["size"]), " "))
+        return (h0 == p["h0"]) & (h1 == p["h1"])
 
-    none = F.array().cast("array<struct<start:int,size:int,phrase:string,items:array<string>>>")
-    hits = F.coalesce(F.filter("_bd_places", same), none)
-    near = none
-    if slop is not None:
+    hits = F.transform(F.filter("places", same), lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size"), p["pid"].alias("phrase_id")))
+    return stored(words.select("doc", "th", hits.alias("hits")).filter(F.size("hits") > 0).dropDuplicates(["doc", "th"]), "hits")
 
-        def close(p: Column) -> Column:
-            first = F.greatest(p["start"] - slop, F.lit(0)) + 1
-            own = F.array_distinct(F.split(p["phrase"], " "))
-            return ~same(p) & (F.size(F.array_intersect(F.slice(words, first, p["size"] + 2 * slop), own)) >= _least(F.size(own), overlap))
 
-        near = F.coalesce(F.filter("_bd_places", close), none)
-    return judged.select(*rest, F.size(words).cast("long").alias("n_words"), hits.alias("hits"), near.alias("near"))
+def _hashes(phrase: Column) -> tuple[Column, Column]:
+    return F.xxhash64(phrase), F.xxhash64(F.lit("phrase"), phrase)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int | None = None, overlap: float = 0.8) -> DataFrame:
+    """``docs`` with n_words, hits, items and near (columns of these names are replaced).
+
+    hits: exact matches, an array of (start, size, phrase_id), start in words from 0.  items: the items with exact matches,
+    sorted as strings.  near: with ``slop``, an array of (start, size, phrase_id) of the places that are no exact match but
+    hold, within the phrase's length and ``slop`` words on either side of where one of its rarest terms puts it, at least
+    ``overlap`` of its distinct words; else empty.  The rarest terms are so many that no place can lack them all; words that are
+    nowhere in the corpus count as rarest, of equally rare ones the first in order comes first.  Words and phrases are compared by
+    hashes (phrases: 128 bits).
+
+    docs needs doc_id and text, benchmark item_id and text.  A null text has no words; items without words have no
+    phrases; a null item_id names no item; items that repeat share phrases; rows that repeat a doc_id are judged
+    by their own text; empty tables are fine; a very long text takes room for its words and one entry for each place;
+    other columns pass through.
+    """
+    rest = [c for c in docs.columns if c.lower() not in ("n_words", "hits", "items", "near")]
+    table = stored(phrases(benchmark, n).withColumn("pid", F.monotonically_increasing_id()), "phrases")
+    terms = table.select("pid", "size", F.posexplode(F.split("phrase", " ")).alias("off", "word")).select("pid", "size", "off", "word", F.xxhash64("word").alias("term"))
+    vocabulary = joinable(terms.select("term").distinct(), BROADCAST_ROWS)
+    counts = stored(_tokens(docs).select("term").join(vocabulary, "term").groupBy("term").count(), "term-counts")
+
+    exact = _exact(docs, table, terms, counts)
+    single = exact.select("doc", "th", F.explode("hits").alias("hit")).select("doc", "th", F.col("hit")["phrase_id"].alias("pid"), F.col("hit")["start"].alias("start"))
+    named = single.select("doc", "th", "pid").distinct().join(joinable(table.select("pid", "items"), BROADCAST_ROWS), "pid")
+    items = named.select("doc", "th", F.explode("items").alias("item")).groupBy("doc", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    parts = [exact, items]
+    if slop is not None:
+        places = _near(docs, table, terms, counts, n, slop, overlap).distinct()
+        same = [places["doc"].eqNullSafe(single["doc"]), *[places[c] == single[c] for c in ("th", "pid", "start")]]
+        places = places.join(single, same, "left_anti").join(joinable(table.select("pid", "size"), BROADCAST_ROWS), "pid")
+        parts.append(places.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("start", "size", F.col("pid").alias("phrase_id")))).alias("near")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part, allowMissingColumns=True)
+    names = [c for c in ("hits", "items", "near") if c in every.columns]
+    found = every.groupBy("doc", "th").agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
+
+    own = dict(zip(("doc", "th", "hash", "words", *names), fresh(docs.columns, "doc", "th", "hash", "words", *names), strict=True))
+    found = stored(found.select(*[F.col(c).alias(own[c]) for c in ("doc", "th", *names)]), "found")
+    whole = docs.select(*rest, _text_hash().alias(own["hash"]), F.size(words_of(F.col("text"))).cast("long").alias(own["words"]))
+    met = whole.join(joinable(found, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col(own["doc"])) & (F.col(own["hash"]) == F.col(own["th"])), "left")
+    none = {"hits": PLACES, "items": "array<string>", "near": PLACES}
+    values = [(F.coalesce(own[c], F.array().cast(kind)) if c in names else F.array().cast(kind)).alias(c) for c, kind in none.items()]
+    return met.select(*rest, F.col(own["words"]).alias("n_words"), *values)
 
 
 def covered(hits: Column) -> Column:
     """How many words lie in any of the hits."""
-    positions = F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))
-    return F.size(F.array_distinct(F.flatten(positions))).cast("long")
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
+    def step(acc: Column, h: Column) -> Column:
+        end = F.greatest(acc["end"], h["start"] + h["size"])
+        return F.struct(end.alias("end"), (acc["n"] + end - F.greatest(acc["end"], h["start"])).alias("n"))
 
-def items_of(hits: Column) -> Column:
-    """The items hit, sorted as strings."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["items"]))))
+    return F.aggregate(F.array_sort(hits), start, step, lambda acc: acc["n"])

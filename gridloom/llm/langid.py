@@ -150,25 +150,24 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, order: int = 3, max_docs_per_language: int = 2000) -> Model:
+def train(labelled: DataFrame, order: int = 3, max_docs_per_language: int = 2000, max_languages: int = 500) -> Model:
     """Trees for each language of ``labelled`` (text, lang; rows with a null in either are left out).
 
-    max_docs_per_language bounds the sample: where a language has more rows, those whose text hash falls in
-    the right share of the hash range are taken, about that many, as whole texts.  Counting is distributed; only the
-    grams' counts of this bounded sample reach the driver.
+    max_docs_per_language bounds the sample: where a language has more distinct texts, those whose hash falls in
+    the right share of the hash range are taken, about that many, as whole texts, each once however often it is repeated.
+    max_languages bounds the model: of more, those with the most distinct texts are learned (ties: by name).  Counting is
+    distributed; only the grams' counts of this bounded sample reach the driver.
     """
-    rows = labelled.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), "text")
-    sizes = rows.groupBy("lang").count().collect()
+    rows = labelled.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("th"))
+    counts = rows.select("lang", "th").distinct().groupBy("lang").count()
+    sizes = counts.orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not sizes:
         return Model([], order, [])
     languages = sorted(r["lang"] for r in sizes)
-    share: Column | None = None
-    for r in sizes:
-        if r["count"] > max_docs_per_language:
-            limit = int(max_docs_per_language / r["count"] * (1 << 32))
-            rule = (F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("text"), F.lit(1 << 32)) >= limit)
-            share = rule if share is None else share | rule
-    sample = rows if share is None else rows.filter(~share)
+    limits = [(r["lang"], min(1 << 32, int(max_docs_per_language / r["count"] * (1 << 32)))) for r in sizes]
+    limit = F.broadcast(labelled.sparkSession.createDataFrame(limits, "lang string, limit long"))
+    part = rows.join(limit, "lang").filter(F.pmod("th", F.lit(1 << 32)) < F.col("limit"))
+    sample = part.dropDuplicates(["lang", "th"]).select("lang", "text")
     number = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +195,8 @@ def train(labelled: DataFrame, order: int = 3, max_docs_per_language: int = 2000
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score; columns of these names are replaced, all others pass through.
+    """``docs`` with lang_pred and score; columns of these names are replaced, all others pass through.  A very long text
+    is coded whole, piece by piece.
 
     lang_pred: the language that codes the whole text shortest (ties: first by name), ``und`` if the text is null or
     has no letter or nothing was learned.  score: its share of the probability that all languages give the text, as

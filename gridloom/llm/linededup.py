@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_lower, stored
+from gridloom.llm.common import ascii_lower, fresh, stored
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -15,7 +15,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
 
     A line's key is the line without white space at its ends, A-Z lower-cased.  Keys of at least ``min_chars`` code
     points in at least ``min_docs`` documents lose all their lines but those in the largest doc_id that holds
-    them.  Keys are compared by 128 hash bits.  A null or empty text is one empty line and comes back as ''.
+    them; of rows that tie for it each keeps them.  Keys are compared by 128 hash bits; a very long text is split whole.  A null or empty text is one empty line and comes back as ''.
     Documents are counted by doc_id (null counts as one, the smallest); every row is treated by itself, also rows
     that repeat a doc_id.  Other columns pass through; columns named n_lines, n_dropped are replaced; an empty table
     gives no rows.
@@ -35,23 +35,24 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     holders = keyed.groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one"))
     counted = holders.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
     frequent = stored(counted.filter(F.col("n") >= min_docs).drop("n"), "frequent-lines")
+    doc, th, gone, own = fresh(docs.columns, "doc", "th", "gone", "lines")
     dropped = (
         keyed.join(frequent, ["k1", "k2"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("_ld_doc"), F.col("th").alias("_ld_th"))
-        .agg(F.collect_set("pos").alias("_ld_pos"))
+        .groupBy(F.col("doc_id").alias(doc), F.col("th").alias(th))
+        .agg(F.collect_set("pos").alias(gone))
     )
     rows = docs.drop("n_lines", "n_dropped", "text").columns
     whole = docs.select(*rows, text.alias("text"))
-    met = whole.join(dropped, F.col("doc_id").eqNullSafe(F.col("_ld_doc")) & (F.xxhash64("text") == F.col("_ld_th")), "left")
+    met = whole.join(dropped, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_ld_pos"))
-    rebuilt = F.array_join(F.transform(kept, lambda i: F.get(F.col("_ld_lines"), i)), "\n")
-    out = met.withColumn("_ld_lines", F.when(F.col("_ld_pos").isNotNull(), lines))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    rebuilt = F.array_join(F.transform(kept, lambda i: F.get(F.col(own), i)), "\n")
+    out = met.withColumn(own, F.when(F.col(gone).isNotNull(), lines))
     n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
     return out.select(
         *rows,
-        F.when(F.col("_ld_pos").isNull(), F.col("text")).otherwise(rebuilt).alias("text"),
+        F.when(F.col(gone).isNull(), F.col("text")).otherwise(rebuilt).alias("text"),
         n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.array_size("_ld_pos"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -67,7 +67,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"), slop=decontam.SLOP)
-    digest = found.select("doc_id", "n_words", decontam.covered(F.col("hits")).alias("n_hit"), decontam.items_of(F.col("hits")).alias("items"), F.size("near").cast("long").alias("n_near"))
+    digest = found.select("doc_id", "n_words", decontam.covered(F.col("hits")).alias("n_hit"), "items", F.size("near").cast("long").alias("n_near"))
     return digest.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
@@ -91,7 +91,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+#: The shard of each slot as two hexadecimal digits.
+_TABLE = "".join(f"{i:02x}" for i in sharding.lookup_table(SHARDS).tolist())
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": f"""
+        with slots as (
+            select doc_id, cast('0x' || left(md5(coalesce(cast(doc_id as varchar), '')), 15) as bigint) % {len(_TABLE) // 2} as slot
+            from documents)
+        select doc_id, slot, cast(cast('0x' || substr('{_TABLE}', cast(2 * slot + 1 as int), 2) as bigint) as int) as shard
+        from slots""",
     "op4_url_filter": r"""
         with rules(verdict, rhost, rpath) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
             ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
@@ -108,6 +117,54 @@ ORACLE_SQL: dict[str, str] = {
             group by page_id)
         select p.page_id, host, path, b.rule, coalesce(b.verdict, 'allow') as verdict
         from parts p left join best b on p.page_id = b.page_id""",
+    "op9_decontamination": r"""
+        with docs as (
+            select row_number() over () as doc, doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+            from documents),
+        items as (
+            select cast(item_id as varchar) as item, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+            from benchmark),
+        runs as (
+            select item, unnest(list_transform(range(greatest(len(w) - 9, 1)), lambda s: w[s + 1 : s + 10])) as run
+            from items where len(w) > 0),
+        phrases as (
+            select array_to_string(run, ' ') as phrase, any_value(len(run)) as size, any_value(run) as run,
+                   list(distinct item) as items
+            from runs group by phrase),
+        -- exact matches
+        sizes as (select distinct size from phrases),
+        windows as (
+            select doc, size, s - 1 as start, array_to_string(w[s : s + size - 1], ' ') as phrase
+            from (select doc, size, w, unnest(range(1, len(w) - size + 2)) as s from docs, sizes where len(w) >= size)),
+        hits as (select doc, start, v.size, v.phrase, items from windows v join phrases p on v.phrase = p.phrase),
+        hit_words as (select doc, count(distinct pos) as n from (select doc, unnest(range(start, start + size)) as pos from hits) group by doc),
+        hit_items as (select doc, list_sort(list(distinct item)) as items from (select doc, unnest(items) as item from hits) group by doc),
+        -- near matches: places where one of the rarest terms puts a phrase
+        words as (select doc, unnest(range(len(w))) as pos, unnest(w) as term from docs),
+        counts as (select term, count(*) as n from words group by term),
+        terms as (select phrase, size, unnest(range(size)) as off, unnest(run) as term, len(list_distinct(run)) as kinds, run from phrases),
+        least as (select *, cast(ceil(kinds * 0.8 - 1e-9) as int) as enough from terms),
+        ranked as (
+            select l.*, dense_rank() over (partition by phrase order by coalesce(n, 0), l.term) as rank, coalesce(n, 0) as n
+            from least l left join counts c on l.term = c.term),
+        anchors as (select * from ranked where rank <= kinds - enough + 1 and n > 0),
+        placed as (
+            select distinct w.doc, phrase, w.pos - off as start, size, run, enough
+            from words w join anchors a on w.term = a.term),
+        near as (
+            select p.doc, count(*) as n
+            from placed p join docs d on p.doc = d.doc left join hits h on h.doc = p.doc and h.phrase = p.phrase and h.start = p.start
+            where h.doc is null and len(list_intersect(
+                d.w[greatest(p.start - 2, 0) + 1 : greatest(p.start - 2, 0) + p.size + 4], p.run)) >= enough
+            group by p.doc)
+        select d.doc_id, len(d.w) as n_words, coalesce(h.n, 0) as n_hit, coalesce(len(i.items), 0) as n_items,
+               sha256(coalesce(array_to_string(i.items, ','), '')) as items_sha256,
+               coalesce(h.n, 0) > 0 as contaminated, coalesce(n.n, 0) as n_near
+        from docs d left join hit_words h on d.doc = h.doc left join hit_items i on d.doc = i.doc left join near n on d.doc = n.doc""",
     "op8_line_dedup": """
         with lines as (
             select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import fresh
+
 #: Largest table that is broadcast: 8 bytes a slot.
 MAX_TABLE = 4_000_037
 
@@ -51,17 +53,22 @@ def lookup_table(shards: Sequence[str], size: int = 65_537, turns: Sequence[int]
     return np.array(owner, np.int32)
 
 
+def slot_of(key: Column, size: int) -> Column:
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    return F.conv(F.left(F.md5(text.cast("binary")), F.lit(15)), 16, 10).cast("bigint") % size
+
+
 def assign(rows: DataFrame, key: str, shards: Sequence[str], size: int = 65_537, turns: Sequence[int] | None = None, slot: str = "slot", shard: str = "shard") -> DataFrame:
     """``rows`` with the columns slot and shard (columns of these names are replaced).
 
-    A row's slot is the XXH64 of its key's text modulo the table's size; the table (at most MAX_TABLE rows) is
+    A row's slot is the first 60 bits of the MD5 of its key's text modulo the table's size; the table (at most MAX_TABLE rows) is
     broadcast, so placement takes one look-up and no row moves.  Equal keys share a shard; a null key counts as the
     empty text; repeated rows are kept; an empty table gives no rows.
     """
     table = lookup_table(shards, size, turns)
-    slots = pa.table({"_shard_slot": pa.array(np.arange(size, dtype=np.int64)), "_shard_no": pa.array(table)})
+    at, no = fresh(rows.columns, "at", "no")
+    slots = pa.table({at: pa.array(np.arange(size, dtype=np.int64)), no: pa.array(table)})
     frame = rows.sparkSession.createDataFrame(slots)
-    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     keep = [c for c in rows.columns if c.lower() not in (slot.lower(), shard.lower())]
-    placed = rows.withColumn("_shard_slot", F.pmod(F.xxhash64(text), F.lit(size)))
-    return placed.join(F.broadcast(frame), "_shard_slot").select(*keep, F.col("_shard_slot").alias(slot), F.col("_shard_no").alias(shard))
+    placed = rows.select("*", slot_of(F.col(key), size).alias(at))
+    return placed.join(F.broadcast(frame), at).select(*keep, F.col(at).alias(slot), F.col(no).alias(shard))
