@@ -2,9 +2,9 @@
 
 Under any fixed order of shingles, two sets of similarity t or more share one of the first ``n - ceil(t * n) + 1`` of each.
 So sets meet under their first shingles only, and no pair is missed.  The order is that of the hashes, but shingles
-that many sets have come last: which these are is estimated from a part of the texts, and as any order is right, that
-changes how many sets meet, but no result.  Where many sets still meet, they are near copies for the most part: all are held
-against one of them first, and then only those that are not in one component yet are held against each other.
+that several sets have come last: which these are is estimated from a part of the texts, and as any order is right, that
+changes how many sets meet, but no result.  Where many sets still meet, they are near copies for the most part: each is held
+against one of the others first, and then only those that are not in one component yet are held against each other.
 
 Pairs that meet are held against each other by their complete fingerprints first: 256 bits, of which sets of similarity t
 differ in few.  What is left is verified on the texts.
@@ -24,11 +24,11 @@ from gridloom.llm.common import joinable, stored
 from gridloom.llm.components import components
 from gridloom.llm.shingles import lower_words, majority, remixed, shingle_hashes
 
-#: Shingles in the prefixes of more sets than this come last in the order, by an estimate from one text in SAMPLE.
-OFTEN = 64
-SAMPLE = 8
+#: Shingles that OFTEN or more of the sets of one text in SAMPLE have come last in the order; they are marked in a bitmap of
+#: 2 ** MARKS bits by their hash, whatever their number.
+OFTEN, SAMPLE, MARKS = 2, 8, 24
 #: In buckets up to this size all pairs are held against each other at once.
-SMALL = 32
+SMALL = 64
 BROADCAST_ROWS = 200_000
 #: 64-bit parts of the fingerprints that pairs are held against each other by; sets of fewer than WIDE_SETS shingles aren't.
 WIDE = 4
@@ -54,32 +54,40 @@ def most_apart(percent: int) -> int:
 
 
 def _prefix(own: np.ndarray, percent: int, late: np.ndarray) -> np.ndarray:
-    """The first shingles of a sorted set; the late ones (sorted) come last."""
+    """The first shingles of a sorted set; those marked as late come last."""
     if len(late):
-        last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
+        place = own >> np.uint64(64 - MARKS)
+        last = (late[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
         own = np.r_[own[~last], own[last]]
     return own[: len(own) - _least(len(own), percent) + 1]
 
 
-def _often(docs: DataFrame, shingle: int, seed: int, percent: int) -> np.ndarray:
-    """Sorted shingles that many sets have in their prefixes, no more than BROADCAST_ROWS."""
+def _late(docs: DataFrame, shingle: int, seed: int, percent: int) -> np.ndarray:
+    """Bitmap of the shingles that several sets have, as 64-bit words.  It has one size, however large the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
         for batch in batches:
-            parts = [_prefix(np.unique(shingle_hashes(lower_words(t), shingle, seed)), percent, none) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *parts]).view(np.int64))], ["key"])
+            parts = [none]
+            for text in batch.column("text").to_pylist():
+                own = np.unique(shingle_hashes(lower_words(text), shingle, seed))
+                parts.append(own[: 3 * len(_prefix(own, percent, none)) // 2])  # what may come to be first when others are last
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], ["key"])
 
     part = docs.select("text", text_hash().alias("th")).filter(F.pmod("th", F.lit(SAMPLE)) == 0).dropDuplicates(["th"]).select("text")
-    counts = part.mapInArrow(run, "key long").groupBy("key").count().filter(F.col("count") * SAMPLE > OFTEN)
-    rows = counts.orderBy(F.desc("count"), "key").limit(BROADCAST_ROWS).collect()
-    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+    often = part.mapInArrow(run, "key long").groupBy("key").count().filter(F.col("count") >= OFTEN)
+    place = F.shiftrightunsigned("key", 64 - MARKS)
+    words = often.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int")).alias("bit"))
+    out = np.zeros(1 << MARKS - 6, np.uint64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[r["word"]] = r["bits"] % (1 << 64)
+    return out
 
 
 def signs(docs: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
     """SIGNS of every row: hash of the text, SimHash fingerprint, hash of the set of its shingles, the set's size, first
     shingles (null where the task has given those of the same set before) and complete fingerprint."""
-    late = _often(docs, shingle, seed, percent)
+    late = docs.sparkSession.sparkContext.broadcast(_late(docs, shingle, seed, percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -100,7 +108,7 @@ def signs(docs: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
                 if len(given) > 100_000:
                     given.clear()
                 given.add(sets[-1])
-                prefixes.append(_prefix(own, percent, late).view(np.int64))
+                prefixes.append(_prefix(own, percent, late.value).view(np.int64))
             signed = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
             ends = np.cumsum([0, *(0 if p is None else len(p) for p in prefixes)], dtype=np.int32)
             values = np.concatenate([np.zeros(0, np.int64), *(p for p in prefixes if p is not None)])
@@ -117,11 +125,11 @@ def signs(docs: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
 def _meet(percent: int):
     """Arrow function over entries (key, size, sh) sorted by these: pairs (u, v) that may be similar by their sizes.
 
-    All pairs of small buckets; of the others each with the middle one, and its key as ``open``.
+    All pairs of small buckets; of the others each set v with the middle one u, with the key as ``open``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, sh, _ in _buckets(batches):
+        for key, size, sh, *_ in _buckets(batches, ["key", "size", "sh"]):
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
             short = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
@@ -134,27 +142,32 @@ def _meet(percent: int):
                 if fit.any():
                     yield _pairs(s[:-d][fit], s[d:][fit], None)
             for a, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                n, s, h = size[a : a + m], sh[a : a + m], a + m // 2
-                fit = (np.minimum(n, size[h]) >= _least(np.maximum(n, size[h]), percent)) & (s != sh[h])
-                yield _pairs(np.full(int(fit.sum()), sh[h]), s[fit], None)
-                yield _pairs(sh[h : h + 1], sh[h : h + 1], key[a])
+                yield _pairs(np.full(m, sh[a + m // 2]), sh[a : a + m], key[a])
 
     return run
 
 
 def _cross(percent: int):
-    """Arrow function over entries (key, size, sh, root) of the larger buckets: the pairs of different components."""
+    """Arrow function over entries (key, size, sh, root, w0 ...) of the larger buckets: the pairs (u, v) of different components
+    whose sizes and complete fingerprints are near enough.
+
+    One of a pair is outside the bucket's largest component, so only those sets look for others.
+    """
+    names = ["key", "size", "sh", "root", *(f"w{i}" for i in range(WIDE))]
+    most = most_apart(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, sh, root in _buckets(batches):
+        for key, size, sh, root, *wide in _buckets(batches, names):
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for a, m in zip(starts.tolist(), np.diff(np.r_[starts, len(key)]).tolist(), strict=True):
-                n, s, r = size[a : a + m], sh[a : a + m], root[a : a + m]
-                if (r == r[0]).all():
-                    continue
-                ends = np.searchsorted(n, n * 100 // percent, "right")  # sizes beyond are too large
-                for i in range(m - 1):
-                    near = i + 1 + np.flatnonzero(r[i + 1 : ends[i]] != r[i])
+                n, s, r, w = size[a : a + m], sh[a : a + m], root[a : a + m], [x[a : a + m] for x in wide]
+                roots, counts = np.unique(r, return_counts=True)
+                out = r != roots[counts.argmax()]
+                for i in np.flatnonzero(out).tolist():
+                    other = (r != r[i]) & (~out | (np.arange(m) > i)) & (np.minimum(n, n[i]) >= _least(np.maximum(n, n[i]), percent))
+                    near = np.flatnonzero(other)
+                    apart = sum(np.bitwise_count(x[near] ^ x[i]).astype(np.int64) for x in w)
+                    near = near[(apart <= most) | (np.minimum(n[near], n[i]) < WIDE_SETS)]
                     if len(near):
                         yield _pairs(np.full(len(near), s[i]), s[near], None)
 
@@ -163,21 +176,20 @@ def _cross(percent: int):
 
 def _pairs(u, v, key) -> pa.RecordBatch:
     opened = pa.nulls(len(u), pa.int64()) if key is None else pa.array([int(key)] * len(u), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), opened], ["u", "v", "open"])
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), opened], ["u", "v", "open"])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays key, size, sh, root (sh where there is none) of rows sorted by key, size and sh, each set once under a key,
-    cut between keys only."""
+def _buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of the columns (key, size, sh and others) of rows sorted by these, each set once under a key, cut between keys only."""
     held: list[list[np.ndarray]] = []
 
     def whole() -> tuple[np.ndarray, ...]:
-        key, size, sh, root = (np.concatenate(p) for p in zip(*held, strict=True))
+        columns = [np.concatenate(p) for p in zip(*held, strict=True)]
+        key, sh = columns[0], columns[2]
         once = np.r_[True, (key[1:] != key[:-1]) | (sh[1:] != sh[:-1])]
-        return key[once], size[once], sh[once], root[once]
+        return tuple(c[once] for c in columns)
 
     for batch in batches:
-        names = ("key", "size", "sh", "root" if "root" in batch.schema.names else "sh")
         part = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
         if not len(part[0]):
             continue
@@ -195,7 +207,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, known: DataFrame, docs: DataFra
     """Those of the pairs (u, v) of sets that aren't in one component of ``known`` and whose similarity is percent / 100 or more."""
     own = sets.join(known, sets.sh == known.node, "left").select("sh", "size", "th", F.coalesce("root", "sh").alias("root"), *[f"w{i}" for i in range(WIDE)])
     left, right = (own.select(*[F.col(c).alias(f"{side}_{c}") for c in own.columns]) for side in "uv")
-    met = pairs.filter("u <> v").distinct().join(left, F.col("u") == F.col("u_sh")).join(right, F.col("v") == F.col("v_sh"))
+    ordered = pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    met = ordered.join(left, F.col("u") == F.col("u_sh")).join(right, F.col("v") == F.col("v_sh"))
     apart = sum((F.bit_count(F.col(f"u_w{i}").bitwiseXOR(F.col(f"v_w{i}"))) for i in range(WIDE)), F.lit(0))
     near = met.filter((F.col("u_root") != F.col("v_root")) & ((F.least("u_size", "v_size") < WIDE_SETS) | (apart <= most_apart(percent))))
     pairs = stored(near.select("u", "v", F.col("u_th").alias("ut"), F.col("v_th").alias("vt")), "pairs")
@@ -233,14 +246,16 @@ def links(docs: DataFrame, signs: DataFrame, sets: DataFrame, known: DataFrame,
     components that are known already: their members aren't held against each other.
     """
     order = ["key", "size", "sh"]
-    flat = signs.select(F.explode("prefix").alias("key"), "size", "sh")
-    met = stored(flat.repartition("key").sortWithinPartitions(*order).mapInArrow(_meet(percent), "u long, v long, open long"), "met")
-    found = _verified(met.filter("open is null").select("u", "v"), sets, known, docs, shingle, seed, percent)
+    flat = signs.select(F.explode("prefix").alias("key"), "size", "sh", *[f"w{i}" for i in range(WIDE)])
+    met = flat.select(*order).repartition("key").sortWithinPartitions(*order).mapInArrow(_meet(percent), "u long, v long, open long")
+    met = stored(met, "met")
+    one = met.filter("open is not null").groupBy("v").agg(F.min("u").alias("u")).select("u", "v")  # of large buckets, one for each
+    found = _verified(met.filter("open is null").select("u", "v").union(one), sets, known, docs, shingle, seed, percent)
     opened = met.filter("open is not null").select(F.col("open").alias("key")).distinct()
     if opened.isEmpty():
         return found
     tree = known.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     roots = stored(components(tree.union(found)), "jaccard-roots")
-    rest = flat.join(joinable(opened, BROADCAST_ROWS), "key").join(roots, flat.sh == roots.node, "left").select(*order, F.coalesce("root", "sh").alias("root"))
+    rest = flat.join(joinable(opened, BROADCAST_ROWS), "key").join(roots, flat.sh == roots.node, "left").withColumn("root", F.coalesce("root", "sh")).drop("node")
     more = rest.repartition("key").sortWithinPartitions(*order).mapInArrow(_cross(percent), "u long, v long, open long").select("u", "v")
     return found.union(_verified(more, sets, roots, docs, shingle, seed, percent))
