@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAN, INF = float("nan"), float("inf")
+LEAST, WRAP = -(1 << 63), 1 << 64
 
 
 class Footprint(Enum):
@@ -56,14 +57,28 @@ def _pair(a: Value, b: Value) -> tuple[Column, Column, str]:
     return a.number, b.number, "i"
 
 
-def _arithmetic(f: Callable[[Column, Column], Column]):
+def _wrapped(f: Callable[[Column, Column], Column], x: Column, y: Column) -> Column:
+    """f of whole numbers exactly, as 64 bits hold it: what goes over the end comes in at the other."""
+    exact = f(x.cast("decimal(19,0)"), y.cast("decimal(19,0)")).cast("decimal(38,0)")
+    half, whole = (F.lit(str(n)).cast("decimal(38,0)") for n in (-LEAST, WRAP))
+    return (F.pmod((exact + half).cast("decimal(38,0)"), whole) - half).cast("bigint")
+
+
+def _arithmetic(f: Callable[[Column, Column], Column], tried: Callable[[Column, Column], Column]):
+    """tried: f of whole numbers, NULL beyond 64 bits."""
+
     def op(a: Value, b: Value) -> Value:
         x, y, kind = _pair(a, b)
-        return Value(f(x, y), kind)
+        return Value(f(x, y) if kind == "f" else F.coalesce(tried(x, y), _wrapped(f, x, y)), kind)
 
     return op
 
 
+_add = _arithmetic(lambda x, y: x + y, F.try_add)
+_sub = _arithmetic(lambda x, y: x - y, F.try_subtract)
+_mul = _arithmetic(lambda x, y: x * y, F.try_multiply)
+
+
 def _divide(x: Column, y: Column) -> Column:
     safe = F.when(y != 0, y)
     zero = F.when(F.isnan(x) | (x == 0), F.lit(NAN)).otherwise(F.signum(x) * F.lit(INF))
@@ -86,10 +101,12 @@ def _ceil(x: Column) -> Column:
 def _mod(a: Value, b: Value) -> Value:
     """Remainder with the divisor's sign; by zero NaN, for whole numbers 0."""
     x, y, kind = _pair(a, b)
+    if kind == "i":
+        safe = F.when((y != 0) & (y != -1), y)
+        rest = x % safe
+        return Value(F.when((y == 0) | (y == -1), F.lit(0)).when((rest != 0) & ((rest < 0) != (safe < 0)), rest + safe).otherwise(rest).cast("bigint"), kind)
     safe = F.when(y != 0, y)
     rest = (x % safe + y) % safe
-    if kind == "i":
-        return Value(F.when(y == 0, F.lit(0)).otherwise(rest).cast("bigint"), kind)
     return Value(F.when(F.isnan(x) | F.isnan(y) | (y == 0) | (F.abs(x) == INF), F.lit(NAN)).when(F.abs(y) == INF, F.when((x == 0) | (F.signum(x) == F.signum(y)), x).otherwise(y)).otherwise(rest), kind)
 
 
@@ -98,14 +115,34 @@ def _floordiv(a: Value, b: Value) -> Value:
     x, y, kind = _pair(a, b)
     if kind == "f":
         return Value(_floor(_divide(x, y)), kind)
-    safe = F.when(y != 0, y)
-    exact = (x - (x % safe + y) % safe) / safe
-    return Value(F.when(y == 0, F.lit(0)).otherwise(exact.cast("bigint")).cast("bigint"), kind)
+    safe = F.when((y != 0) & (y != -1), y)
+    down = F.call_function("div", x, safe) - F.when((x % safe != 0) & ((x < 0) != (safe < 0)), 1).otherwise(0)
+    return Value(F.when(y == 0, F.lit(0)).when(y == -1, _negative(x)).otherwise(down).cast("bigint"), kind)
+
+
+def _negative(x: Column) -> Column:
+    """-x of whole numbers; the least one has no opposite and stays."""
+    return F.when(x == LEAST, x).otherwise(-F.when(x != LEAST, x))
 
 
 def _power(a: Value, b: Value) -> Value:
-    out = F.pow(a.double, b.double)
-    return Value(out.cast("bigint"), "i") if _pair(a, b)[2] == "i" else Value(out, "f")
+    """Whole numbers are exact as 64 bits hold them; to negative powers 0, but for the bases 1 and -1."""
+    x, y, kind = _pair(a, b)
+    if kind == "f":
+        return Value(F.pow(x, y), kind)
+    near = F.pow(x.cast("double"), y.cast("double"))
+
+    def times(p: Column, q: Column) -> Column:
+        return F.coalesce(F.try_multiply(p, q), _wrapped(lambda m, n: m * n, p, q))
+
+    def step(acc: Column, i: Column) -> Column:
+        bit = F.call_function("shiftright", y, i).bitwiseAND(F.lit(1)) == 1
+        return F.struct(F.when(bit, times(acc["out"], acc["base"])).otherwise(acc["out"]).alias("out"), times(acc["base"], acc["base"]).alias("base"))
+
+    bits = F.sequence(F.lit(0), F.greatest(F.length(F.bin(y)) - 1, F.lit(0)))
+    exact = F.aggregate(bits, F.struct(F.lit(1).cast("bigint").alias("out"), x.alias("base")), step, lambda acc: acc["out"])
+    negative = F.when(x == 1, 1).when(x == -1, F.when(y % 2 == 0, 1).otherwise(-1)).otherwise(0)
+    return Value(F.when(y < 0, negative).when(F.abs(near) < 2.0**52, F.rint(F.when(F.abs(near) < 2.0**52, near)).cast("bigint")).otherwise(exact).cast("bigint"), "i")
 
 
 def _compare(f: Callable[[Column, Column], Column], nan_operand: Callable[[Value, Value], Column], if_nan: bool = False):
@@ -176,8 +213,8 @@ def _log(f: Callable[[Column], Column]):
     return op
 
 
-def _same_kind(f: Callable[[Column], Column]):
-    return lambda a: Value(f(a.number), "f" if a.kind == "f" else "i")
+def _same_kind(f: Callable[[Column], Column], whole: Callable[[Column], Column]):
+    return lambda a: Value(f(a.column), "f") if a.kind == "f" else Value(whole(a.number), "i")
 
 
 def _nan_to_num(a: Value, nan: float = 0.0, posinf: float | None = None, neginf: float | None = None) -> Value:
@@ -220,9 +257,9 @@ class Operator:
 OPERATORS: dict[str, Operator] = {
     name: Operator(name, kernel, footprint, keeps)
     for name, kernel, footprint, keeps in (
-        ("add", _arithmetic(lambda x, y: x + y), U, True),
-        ("sub", _arithmetic(lambda x, y: x - y), U, True),
-        ("mul", _arithmetic(lambda x, y: x * y), I, True),
+        ("add", _add, U, True),
+        ("sub", _sub, U, True),
+        ("mul", _mul, I, True),
         ("truediv", _truediv, I, False),
         ("floordiv", _floordiv, I, False),
         ("mod", _mod, I, False),
@@ -244,9 +281,9 @@ OPERATORS: dict[str, Operator] = {
         ("maximum", _greatest, U, True),
         ("minimum", _least, U, True),
         ("where", _where, N, True),
-        ("abs", _same_kind(F.abs), N, True),
-        ("neg", _same_kind(lambda x: -x), N, True),
-        ("pos", _same_kind(lambda x: x), N, True),
+        ("abs", _same_kind(F.abs, lambda x: F.when(x < 0, _negative(x)).otherwise(x)), N, True),
+        ("neg", _same_kind(lambda x: -x, _negative), N, True),
+        ("pos", _same_kind(lambda x: x, lambda x: x), N, True),
         ("floor", _whole(_floor), N, True),
         ("ceil", _whole(_ceil), N, True),
         ("round", _whole(F.rint), N, True),

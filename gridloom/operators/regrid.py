@@ -7,7 +7,7 @@ from enum import Enum
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as Over
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.dtypes import DataType
@@ -67,9 +67,10 @@ class Reprojected(Data):
     """A layer or expression on another lattice.
 
     With the same coordinate system every source pixel is dealt to the target pixels that it overlaps, by its shares,
-    and one aggregate makes the targets; for Nearest each target takes the source pixel under its centre.  Across
-    coordinate systems, source pixels are split into 4 x 4 points (more where these would leave targets out) that are mapped forward, or where targets are
-    smaller than sources, target centres are mapped back.  Integer ratios of steps are exact.
+    and one aggregate makes the targets.  Across coordinate systems each target is mapped back: points spread over it, at
+    least 4 x 4 and two for each source pixel along either side, fall on the source pixels that it overlaps and tell by how
+    much.  So no target that has data under it is left out, at any distortion.  For Nearest each target takes the source
+    pixel under its centre.  Integer ratios of steps are exact.
     """
 
     def __init__(self, child: Layer, projection: MapProjection, method: ResamplingMethod):
@@ -127,72 +128,75 @@ class Reprojected(Data):
             rows = rows.withColumn(f"t{c}", F.explode(cells)).withColumn(f"w{c}", share)
         return resampled(rows.select(F.col("ty").alias("y"), F.col("tx").alias("x"), "v", (F.col("wy") * F.col("wx")).alias("w")), self.method)
 
-    def _finer(self, w: Window) -> bool:
-        """True if the targets are smaller than the sources, by the area round the window's middle."""
-        p, y, x = self.target, w.yoff + w.ysize // 2, w.xoff + w.xsize // 2
-        cx, cy = crs.transform(p.name, self.source.name, np.array([x, x + 1, x]) * p.xstep, np.array([y, y, y + 1]) * p.ystep)
-        size = abs((cx[1] - cx[0]) * (cy[2] - cy[0]) - (cx[2] - cx[0]) * (cy[1] - cy[0]))
-        return bool(np.isfinite(size) and size < abs(self.source.xstep * self.source.ystep))
+    def _overlaps(self, targets: DataFrame, least: int) -> DataFrame:
+        """(y, x, my, mx, w, size) of targets (y, x): the source pixels that they overlap, their shares of the target, and the
+        target's size in source pixels, by least x least points or more (0: by their centres)."""
+        source, target = self.source, self.target
 
-    def _mapped(self, points: DataFrame, frm: MapProjection, to: MapProjection, parts: int) -> DataFrame:
-        """points (y, x, v) split into parts x parts points each: the cell numbers in the other lattice as my, mx."""
+        def mapped(x, y):
+            mx, my = crs.transform(target.name, source.name, x * target.xstep, y * target.ystep)
+            return mx / source.xstep, my / source.ystep
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                y, x, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "v"))
-                for i in range(parts):
-                    for j in range(parts):
-                        px, py = (x + (i + 0.5) / parts) * frm.xstep, (y + (j + 0.5) / parts) * frm.ystep
-                        mx, my = crs.transform(frm.name, to.name, px, py)
-                        ok = np.isfinite(mx) & np.isfinite(my)
-                        cell = [np.floor(m[ok] / s + 1e-9).astype(np.int64) for m, s in ((my, to.ystep), (mx, to.xstep))]
-                        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (y[ok], x[ok], v[ok], *cell)], ["y", "x", "v", "my", "mx"])
-
-        return points.mapInArrow(run, "y long, x long, v double, my long, mx long")
-
-    def _split(self, rows: DataFrame, frm: MapProjection, to: MapProjection, least: int) -> DataFrame:
-        """(y, x, v, w) in the other lattice of least x least points of each pixel, or where these leave targets out, of so many
-        more along an axis that neighbours lie at most half a target apart; w: the point's share of the pixel."""
-
-        def ends(x, y):
-            mx, my = crs.transform(frm.name, to.name, x * frm.xstep, y * frm.ystep)
-            return mx / to.xstep, my / to.ystep
-
-        def apart(x, y, dx, dy):
-            (ax, ay), (bx, by) = ends(x, y), ends(x + dx, y + dy)
-            far = np.stack([np.abs(ax - bx), np.abs(ay - by)])
-            return np.where(np.isfinite(far), far, 0)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                y, x, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "v"))
-                # along each edge, in quarters: the longest counts
-                across = np.max([apart(x + i / 4, y + j, 0.25, 0) for i in range(4) for j in (0, 0.5, 1)], axis=0) * 4
-                down = np.max([apart(x + i, y + j / 4, 0, 0.25) for j in range(4) for i in (0, 0.5, 1)], axis=0) * 4
-                holes = (across + down).max(axis=0) > least  # else least x least points leave no target out
-                nx, ny = (np.where(holes & (d > least / 2), np.ceil(2 * d), least).astype(np.int64) for d in (across.max(axis=0), down.max(axis=0)))
+                y, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "x"))
+                corners = [np.stack(mapped(x + i, y + j)) for j in (0, 1) for i in (0, 1)]
+                with np.errstate(invalid="ignore"):
+                    across = np.nanmax([np.zeros_like(corners[0]), np.abs(corners[1] - corners[0]), np.abs(corners[3] - corners[2])], axis=(0, 1))
+                    down = np.nanmax([np.zeros_like(corners[0]), np.abs(corners[2] - corners[0]), np.abs(corners[3] - corners[1])], axis=(0, 1))
+                    a, b = corners[1] - corners[0], corners[2] - corners[0]
+                    size = np.abs(a[0] * b[1] - a[1] * b[0])
+                size = np.where(np.isfinite(size), size, across * down)
+                nx, ny = (np.maximum(least, np.ceil(2 * d)).astype(np.int64) if least else np.ones(len(x), np.int64) for d in (across, down))
                 for px, py in np.unique(np.stack([nx, ny]), axis=1).T.tolist() if len(x) else []:
-                    own = (nx == px) & (ny == py)
-                    ox, oy, ov = x[own], y[own], v[own]
-                    for i in range(px):
-                        for j in range(py):
-                            mx, my = ends(ox + (i + 0.5) / px, oy + (j + 0.5) / py)
-                            ok = np.isfinite(mx) & np.isfinite(my)
-                            cell = [np.floor(m[ok] + 1e-9).astype(np.int64) for m in (my, mx)]
-                            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (*cell, ov[ok], np.full(int(ok.sum()), 1.0 / (px * py)))], ["y", "x", "v", "w"])
+                    every = np.flatnonzero((nx == px) & (ny == py))
+                    step = max(1, MOST_POINTS // (px * py))
+                    for lo in range(0, len(every), step):
+                        own = every[lo : lo + step]
+                        t, cy, cx, n = _counted(mapped, x[own], y[own], px, py)
+                        columns = [y[own][t], x[own][t], cy, cx, n / (px * py), size[own][t]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["y", "x", "my", "mx", "w", "size"])
 
-        return rows.mapInArrow(run, "y long, x long, v double, w double")
+        return targets.mapInArrow(run, "y long, x long, my long, mx long, w double, size double")
 
     def _warped(self, rows: DataFrame, w: Window) -> DataFrame:
         from gridloom.plans.layer import lattice
 
+        source = rows.select(F.col("y").alias("my"), F.col("x").alias("mx"), "v")
         nearest = self.method is ResamplingMethod.Nearest
-        if nearest or self._finer(w):
-            targets = self._mapped(lattice(w).select("y", "x", F.lit(0.0).alias("v")), self.target, self.source, 1)
-            source = rows.select(F.col("y").alias("my"), F.col("x").alias("mx"), "v")
-            found = targets.drop("v").join(source, ["my", "mx"])
-            if self.method is not ResamplingMethod.Sum:
-                return found.select("y", "x", "v")
-            shares = Over.partitionBy("my", "mx")
-            return found.select("y", "x", (F.col("v") / F.count("*").over(shares)).alias("v"))
-        return resampled(self._split(rows, self.source, self.target, 4), self.method)
+        pieces = self._overlaps(lattice(w), 0 if nearest else 4)
+        if nearest:
+            return pieces.select("y", "x", "my", "mx").join(source, ["my", "mx"]).select("y", "x", "v")
+        share = F.col("w") * F.col("size") if self.method is ResamplingMethod.Sum else F.col("w")
+        return resampled(pieces.join(source, ["my", "mx"]).select("y", "x", "v", share.alias("w")), self.method)
+
+
+#: Points that are mapped at a time.
+MOST_POINTS = 1_000_000
+
+
+def _counted(mapped, x: np.ndarray, y: np.ndarray, px: int, py: int) -> tuple[np.ndarray, ...]:
+    """(target, row, column, points) of the cells that the px x py points of each target fall into."""
+    found: list[np.ndarray] = []
+    rows = max(1, MOST_POINTS // (px * len(x)))
+    for lo in range(0, py, rows):
+        j, i = np.meshgrid(np.arange(lo, min(lo + rows, py)), np.arange(px), indexing="ij")
+        mx, my = mapped((x[:, None] + (i.ravel() + 0.5) / px).ravel(), (y[:, None] + (j.ravel() + 0.5) / py).ravel())
+        ok = np.isfinite(mx) & np.isfinite(my)
+        target = np.repeat(np.arange(len(x)), i.size)[ok]
+        cy, cx = (np.floor(m[ok] + 1e-9).astype(np.int64) for m in (my, mx))
+        cells, n = _unique(target, cy, cx, np.ones(len(target), np.int64))
+        found.append(np.vstack([cells, n]))
+    if len(found) > 1:
+        cells, n = _unique(*np.hstack(found))
+        return (*cells, n)
+    return tuple(found[0])
+
+
+def _unique(target: np.ndarray, cy: np.ndarray, cx: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (target, row, column) and the sums of n."""
+    order = np.lexsort((cx, cy, target))
+    cells = np.stack([target, cy, cx])[:, order]
+    first = np.flatnonzero(np.r_[True, (cells[:, 1:] != cells[:, :-1]).any(axis=0)]) if len(order) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(n[order], first) if len(order) else np.zeros(0, np.int64)
+    return cells[:, first], sums

@@ -98,6 +98,11 @@ class Layer:
     def close(self) -> None:
         """Nothing is held open; here so that layers work in with statements."""
 
+    def park(self) -> None:
+        """Nothing is held open: a layer of files can be pickled as it is, and reads them where it is used."""
+
+    unpark = park
+
     # ------------------------------------------------------------------------------------------------ operators
     def _binary(self, name: str, other: object, swapped: bool = False) -> Layer:
         other = as_layer(other)
@@ -283,14 +288,21 @@ class Layer:
 
         return to_parquet(self, path, nodata, and_sum)
 
-    def save(self, path, area: Area | Layer | None = None, and_sum: bool = False, callback: Callable[[float], None] | None = None) -> float | None:
-        """Write the layer, over ``area`` if one is given: a GeoTIFF file if the name ends so, else a Parquet grid."""
+    def save(self, destination, area: Area | Layer | None = None, and_sum: bool = False, callback: Callable[[float], None] | None = None, band: int = 1) -> float | None:
+        """Write the layer, over ``area`` if one is given: a GeoTIFF file if the name ends so, else a Parquet grid.
+
+        destination may also be a layer that was read from a file: then its ``band`` is replaced, and its area and type win.
+        """
+        if isinstance(destination, Layer):
+            from gridloom.sources.grids import replace_band
+
+            return replace_band(self if area is None else self.as_area(area), destination, band, and_sum, callback)
         layer = self if area is None else self.as_area(area)
-        if str(path).lower().endswith((".tif", ".tiff")):
-            return layer.to_geotiff(path, and_sum, callback=callback)
+        if str(destination).lower().endswith((".tif", ".tiff")):
+            return layer.to_geotiff(destination, and_sum, callback=callback)
         if callback:
             callback(0.0)
-        out = layer.to_parquet(str(path), and_sum=and_sum)
+        out = layer.to_parquet(str(destination), and_sum=and_sum)
         if callback:
             callback(1.0)
         return out
@@ -480,6 +492,16 @@ class PixelTable:
         self.rows, self.dense = rows, dense
         self.key = key if key is not None else next(self._numbers)
 
+    def kind(self, band: str) -> str:
+        return kind_of(self.rows, band)
+
+    def within(self, w: Window, bands: Sequence[str]) -> DataFrame:
+        """At least y, x and ``bands`` of the pixels of a window."""
+        return within(self.rows, w)
+
+    def __reduce__(self):
+        raise TypeError("layers of tables in memory can't be pickled")
+
 
 class TableLayer(Data):
     """One band of a PixelTable.  Values equal to nodata are NaN unless they are to be kept."""
@@ -498,7 +520,7 @@ class TableLayer(Data):
 
     @property
     def value(self) -> Column:
-        kind = "double" if kind_of(self.table.rows, self.band) == "f" else "bigint"
+        kind = "double" if self.table.kind(self.band) == "f" else "bigint"
         v = F.col(self.band).cast(kind)
         if not self.masked:
             return v
@@ -507,7 +529,7 @@ class TableLayer(Data):
         return F.when(v == F.lit(self._nodata).cast("double"), F.lit(math.nan)).otherwise(v.cast("double"))
 
     def pixels(self, w: Window) -> DataFrame:
-        return within(self.table.rows, w).select("y", "x", self.value.alias("v"))
+        return self.table.within(w, [self.band]).select("y", "x", self.value.alias("v"))
 
 
 class RowLayer(Data):
@@ -564,6 +586,9 @@ class Expression(Layer):
     def describe(self) -> str:
         return self.op.name + (f" {self.params}" if self.params else "")
 
+    def __reduce__(self):
+        return Expression, (self.op.name, self.children, self.params)
+
 
 class Recast(Layer):
     """The same values under another footprint."""
@@ -647,7 +672,7 @@ def lower(root: Layer, w: Window, sparse: bool = False) -> tuple[DataFrame, Valu
     kinds: dict = {}
     parts: list[tuple[DataFrame, list[str], bool]] = []  # rows, columns, whether every pixel of the window has a row
     for group in tables.values():
-        df = within(group[0].table.rows, w).select("y", "x", *[leaf.value.alias(columns[leaf.key]) for leaf in group])
+        df = group[0].table.within(w, [leaf.band for leaf in group]).select("y", "x", *[leaf.value.alias(columns[leaf.key]) for leaf in group])
         full = all(leaf.dense and leaf.area.window.contains(w) for leaf in group)
         parts.append((df, [columns[leaf.key] for leaf in group], full))
     for leaf in others:

@@ -17,6 +17,7 @@ from gridloom.functions.dtypes import DataType
 from gridloom.plans.geometry import Area, MapProjection, Window
 from gridloom.plans.layer import Formula, Layer, RowLayer
 from gridloom.sources import sinks
+from gridloom.sources.grids import is_uniform_rows, narrowed, rasters_in
 
 UNIT = MapProjection("ESRI:54009", 1.0, -1.0)
 METHODS = g.ResamplingMethod
@@ -160,6 +161,12 @@ add("mod", lambda q: (q.elev - 25) % -7, own_sql("(((v - 25) % -7) - 7) % -7"))
 add("rmod", lambda q: 100 % q.elev, own_sql("100 % v"))
 add("pow", lambda q: q.elev**2, own_sql("v * v"))
 add("rpow", lambda q: 2.0 ** (q.elev % 10), own_sql("power(2.0::double, v % 10)"))
+add("floordiv_big", lambda q: (q.elev * 2**57 + 1) // -3, own_sql("cast(-((v::hugeint * 144115188075855872 + 1 + 2) // 3) as bigint)"))
+add("mod_big", lambda q: (q.elev * 2**57 + 1) % 1000003, own_sql("cast((v::hugeint * 144115188075855872 + 1) % 1000003 as bigint)"))
+add("pow_big", lambda q: (q.elev + 94906200) ** 2, own_sql("cast((v::hugeint + 94906200) * (v::hugeint + 94906200) as bigint)"))
+_wrap = "cast((({}) + 9223372036854775808::hugeint) % 18446744073709551616::hugeint - 9223372036854775808::hugeint as bigint)"
+add("mul_wraps", lambda q: q.elev * 2**60, own_sql(_wrap.format("v::hugeint * 1152921504606846976")))
+add("add_wraps", lambda q: q.elev + (2**63 - 20), own_sql(_wrap.format("v::hugeint + 9223372036854775788")))
 add("neg", lambda q: -q.elev, own_sql("-v"))
 add("pos", lambda q: +q.elev, own_sql("v"))
 # ------------------------------------------------------------------------------------------------------- comparison
@@ -290,7 +297,40 @@ add("rescale_rms", lambda q: rounded(q.elev.as_projection(DOUBLE, METHODS.RootMe
 add("rescale_sum", lambda q: q.elev.as_projection(DOUBLE, METHODS.Sum), _odd + "sum(v)::double" + _end)
 add("rescale_sum_up", lambda q: q.elev.as_projection(HALF, METHODS.Sum), f"with a as ({ELEV}), k as ({box('0', '2', '0', '2')}) select a.y * 2 + k.y as y, a.x * 2 + k.x as x, a.v / 4 as v from a cross join k")
 add("rescale_in_expression", lambda q: (q.elev.as_projection(DOUBLE, METHODS.Sum) > 100).sum_frame(), f"select sum(case when v > 100 then 1 else 0 end)::double as sum from ({_odd}sum(v){_end})")
-add("warp_mean", lambda q: q.elev.as_projection(MapProjection("EPSG:4326", 2e-5, -2e-5), METHODS.Average).frame().agg(F.count("*").alias("n"), F.avg("v").alias("mean")), None)
+# across coordinate systems: the parts on web Mercator, to longitude and latitude; 4 x 4 points for each target
+WARP = MapProjection("EPSG:4326", 1.5e-5, -1.5e-5)
+_R = "6378137.0::double"
+
+
+def _mercator(q: Grids, band: str = "elev") -> Layer:
+    return g.from_table(q.part(band).table.rows, band, Window(0, 0, 50, q.height), MapProjection("EPSG:3857", 1.0, -1.0), True)
+
+
+def warp_sql(value: str, a: str = ELEV, points: int = 4, inner: str = "n", size: str = "1") -> str:
+    """value: an aggregate over v, n (points of a source pixel in the target) and size (of the target in source pixels)."""
+    lat = "-1.5e-5::double * (y + (j + 0.5::double) / {0})".format(points)
+    return f"""with a as ({a}),
+        h as (select cast(ceil(degrees(50 / {_R}) / 1.5e-5) as bigint) as w, cast(ceil(-degrees(2 * atan(exp(-{H} / {_R})) - pi() / 2) / 1.5e-5) as bigint) as h),
+        g as (select y, x from (select unnest(generate_series(0, (select h from h) - 1)) as y) cross join (select unnest(generate_series(0, (select w from h) - 1)) as x)),
+        k as ({box("0", str(points), "0", str(points))}),
+        p as (select g.y, g.x, cast(floor({_R} * radians(1.5e-5::double * (g.x + (k.x + 0.5::double) / {points})) + 1e-9) as bigint) as cx,
+                cast(floor(-{_R} * ln(tan(pi() / 4 + radians({lat.replace("(y", "(g.y").replace("(j", "(k.y")}) / 2)) + 1e-9) as bigint) as cy
+              from g cross join k),
+        c as (select y, x, cy, cx, count(*) / {points * points}::double as n from p group by 1, 2, 3, 4),
+        m as (select c.y, c.x, a.v::double as v, n, {_R} * radians(1.5e-5::double) * {_R} * (ln(tan(pi() / 4 + radians(-1.5e-5::double * c.y) / 2)) - ln(tan(pi() / 4 + radians(-1.5e-5::double * (c.y + 1)) / 2))) as size
+              from c join a on a.y = c.cy and a.x = c.cx),
+        r as (select y, x, {value} as v from m group by 1, 2)
+        select g.y, g.x, round(coalesce(r.v, 0), 6) + 0.0 as v from g left join r on g.y = r.y and g.x = r.x"""
+
+
+for _name, _method, _value in (
+    ("average", METHODS.Average, "sum(v * n) / sum(n)"), ("min", METHODS.Min, "min(v)"), ("max", METHODS.Max, "max(v)"), ("med", METHODS.Med, "median(v)"),
+    ("rms", METHODS.RootMeanSquare, "sqrt(sum(v * v * n) / sum(n))"), ("sum", METHODS.Sum, "sum(v * n * size)"),
+):
+    add(f"warp_{_name}", lambda q, method=_method: rounded(_mercator(q).as_projection(WARP, method)), warp_sql(_value))
+add("warp_nearest", lambda q: rounded(_mercator(q).as_projection(WARP)), warp_sql("max(v)", points=1))
+add("warp_mode", lambda q: rounded(_mercator(q, "code").as_projection(WARP, METHODS.Mode)), warp_sql("arg_max(v, round(n * 1000) * 1000 - v)", CODE).replace("m as (select c.y", "m0 as (select c.y").replace("r as (select y, x,", "m as (select y, x, v, sum(n) as n from m0 group by 1, 2, 3),\n        r as (select y, x,"))
+add("warp_constant", lambda q: (_mercator(q) * 0 + 1).as_projection(WARP, METHODS.Average).unique_frame().select(F.round("v", 9).alias("v")), "select 1.0::double as v")
 # --------------------------------------------------------------------------------------------------------- vectors
 _cells = f"with s as ({RECTS}), r as (select s_suppkey, s_nationkey, x0, x1, unnest(generate_series(y0, y1)) as y from s), c as (select s_suppkey, s_nationkey, y, unnest(generate_series(x0, x1)) as x from r)"
 _frame = "g as (select y, x from (select unnest(generate_series((select min(y) from c), (select max(y) from c))) as y) cross join (select unnest(generate_series((select min(x) from c), (select max(x) from c))) as x))"
@@ -317,26 +357,167 @@ def _polygons(q: Grids) -> Layer:
 
 
 add("rasterize_polygons", _polygons, burn_sql("arg_max(s_nationkey, s_suppkey)"))
+
+
+def _triangles(q: Grids) -> Layer:
+    """Right triangles whose legs are 2 to 6 pixels long: other than rectangles, they have slanted edges."""
+    from gridloom.operators.rasterize import Shapes
+    from gridloom.plans.geometry import Window as Box
+
+    h = q.height
+    t = q.table("supplier").select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 40).cast("double").alias("x0"), (F.col("s_suppkey") * 7 % h).cast("double").alias("y0"), (F.col("s_nationkey") % 5 + 2).cast("double").alias("n"))
+    point = lambda x, y: F.struct(x.alias("x"), (-y).alias("y"))
+    x, y, n = F.col("x0"), F.col("y0"), F.col("n")
+    ring = F.array(point(x, y), point(x + n, y), point(x, y + n), point(x, y))
+    features = t.select(F.col("s_suppkey").alias("priority"), F.col("s_nationkey").alias("burn"), F.array(ring).alias("rings"))
+    return Shapes(features, Area.of_window(Box(0, 0, 46, h + 6), UNIT), DataType.Int64)
+
+
+add("rasterize_triangles", _triangles, f"""with s as (select s_suppkey, s_nationkey, s_suppkey % 40 as x0, s_suppkey * 7 % {H} as y0, s_nationkey % 5 + 2 as n from supplier),
+    k as ({box("0", "6", "0", "6")}), c as (select s_suppkey, s_nationkey, y0 + k.y as y, x0 + k.x as x from s join k on k.x + k.y <= n - 1),
+    b as (select y, x, arg_max(s_nationkey, s_suppkey) as v from c group by 1, 2), g as ({box("0", f"{H} + 6", "0", "46")})
+    select g.y, g.x, coalesce(b.v, 0)::bigint as v from g left join b on g.y = b.y and g.x = b.x""")
+
+
+def _folder(q: Grids) -> str:
+    """A new folder that driver and executors share."""
+    import os
+    import tempfile
+    import uuid
+
+    base = q.spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not q.spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="gridloom-")
+    path = f"{base.removeprefix('file://')}/grids/{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
+def _shape_file(q: Grids) -> str:
+    """The rectangles as a GeoJSON file, in the order of their priority."""
+    import json
+
+    def feature(r) -> dict:
+        x0, y0, x1, y1 = r["left"], r["top"], r["right"], r["bottom"]
+        return {"type": "Feature", "properties": {"nation": r["burn"]}, "geometry": {"type": "Polygon", "coordinates": [[[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]]}}
+
+    path = f"{_folder(q)}/rectangles.geojson"
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"type": "FeatureCollection", "features": [feature(r) for r in q.rects().features.orderBy("priority").collect()]}, f)
+    return path
+
+
+add("shape_file", lambda q: g.read_shape(_shape_file(q), UNIT, burn_value="nation"), burn_sql("arg_max(s_nationkey, s_suppkey)"))
+add("shape_filter", lambda q: g.read_shape(_shape_file(q), UNIT, "nation < 10", DataType.Int64), burn_sql("1", "s_nationkey < 10"))
+add("shape_like", lambda q: g.read_shape_like(_shape_file(q), q.elev, burn_value="nation"), burn_sql("arg_max(s_nationkey, s_suppkey)"))
+add("shape_mask", lambda q: (q.elev * g.read_shape_like(_shape_file(q), q.elev)).sum_frame(), ORACLE_SQL["rasterize_mask_sum"])
 # ----------------------------------------------------------------------------------------------------------- sinks
 add("multiband_align", lambda q: sinks.aligned([q.elev, q.shift], ["first", "second"])[0].withColumns({"first": F.col("first").cast("bigint"), "second": F.col("second").cast("bigint")}), union_sql("a").replace("a as v", 'a as "first", b as "second"'))
 add("read_window", lambda q: q.elev.frame(Window(10, 1, 5, 2)), own_sql("v") + " where y between 1 and 2 and x between 10 and 14")
 add("show_downsample", lambda q: q.tall.thumbnail_frame(100), f"with t as ({TALL}), s as (select greatest(1, (max(y) + 1) // 100) as n, max(y) as hy, max(x) as hx from t), g as (select y, x from s, (select unnest(generate_series(0, (select hy from s))) as y) cross join (select unnest(generate_series(0, (select hx from s))) as x) where y % n = 0 and x % n = 0) select g.y // n as y, g.x // n as x, coalesce(t.v, 0) as v from g cross join s left join t on t.y = g.y and t.x = g.x")
 
 
-def _grid_round_trip(q: Grids) -> Layer:
-    import uuid
+def _saved(q: Grids, layer: Layer, name: str = "a.tif") -> str:
+    path = f"{_folder(q)}/{name}"
+    layer.save(path)
+    return path
 
-    base = q.spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
 
-        base = tempfile.mkdtemp(prefix="gridloom-")
-    path = f"{base}/grids/{uuid.uuid4().hex}.parquet"
-    q.elev.to_parquet(path)
-    return g.read_raster(path)
+def _one(q: Grids, schema: str, *values) -> DataFrame:
+    return q.spark.createDataFrame([values], schema)
+
+
+add("save_and_sum", lambda q: g.read_raster(_saved(q, q.elev, "a.parquet")), own_sql("v"))
+add("save_total", lambda q: _one(q, "sum double", q.elev.parallel_save(f"{_folder(q)}/a.parquet", and_sum=True)), f"select sum(v)::double as sum from ({ELEV})")
+add("geotiff_total", lambda q: _one(q, "sum double", q.elev.to_geotiff(f"{_folder(q)}/a.tif", and_sum=True)), f"select sum(v)::double as sum from ({ELEV})")
+add("geotiff_round_trip", lambda q: g.read_raster(_saved(q, q.elev)), own_sql("v"))
+add("geotiff_nodata", lambda q: g.read_raster((lambda path: q.part("elev", nodata=13.0).to_geotiff(path, nodata=-1, sparse=True) or path)(f"{_folder(q)}/a.tif")), own_sql("case when v = 13 then 'nan'::double else v::double end"))
+add("geotiff_window", lambda q: g.read_raster(_saved(q, q.elev)).as_area(Area(5.0, -1.0, 25.0, -3.0)), own_sql("v") + " where y between 1 and 2 and x between 5 and 24")
+add("geotiff_bands", lambda q: g.read_raster((lambda path: g.to_geotiff(path, [q.elev, q.shift], ["one", "two"]) or path)(f"{_folder(q)}/a.tif"), 2), union_sql("b"))
+add("read_like", lambda q: g.read_raster_like(_saved(q, q.elev), q.elev.as_projection(DOUBLE), METHODS.Average), ORACLE_SQL["rescale_avg"])
+add("rasters_list", lambda q: g.read_rasters([_saved(q, q.shift), _saved(q, q.elev, "a.parquet")]), ORACLE_SQL["group_priority"])
+
+
+def _globe(q: Grids, rows: DataFrame, band: str, width: int) -> Layer:
+    return g.from_table(rows, band, Window(0, 0, width, q.height), MapProjection("EPSG:4326", 1.0, -1.0), True)
+
+
+def _narrow_file(q: Grids) -> Layer:
+    rows = q.elev.frame().groupBy("y").agg(F.max("v").alias("v")).select("y", F.lit(0).cast("bigint").alias("x"), "v")
+    return _globe(q, q.elev.table.rows, "elev", 50) * g.read_narrow_raster(_saved(q, _globe(q, rows, "v", 1)))
+
+
+def _folder_mosaic(q: Grids) -> Layer:
+    folder = _folder(q)
+    q.shift.save(f"{folder}/a.tif")
+    q.elev.save(f"{folder}/b.tif")
+    return rasters_in(folder)
+
+
+def _into_band(q: Grids) -> Layer:
+    destination = g.empty_raster_like(q.elev, f"{_folder(q)}/a.tif", bands=2)
+    q.elev.save(destination, band=1)
+    q.shift.save(g.read_raster(destination.source[0]), band=2)
+    return g.read_raster(destination.source[0], 1) * 100 + g.read_raster(destination.source[0], 2)
+
+
+def _pickled(q: Grids) -> Layer:
+    import pickle
+
+    return pickle.loads(pickle.dumps(g.read_raster(_saved(q, q.elev)) * 2 + 1))
+
+
+def _uniform(q: Grids) -> DataFrame:
+    even = g.from_table(q.elev.table.rows.withColumn("elev", F.col("y") * 3), "elev", Window(0, 0, 50, q.height), UNIT, True)
+    return _one(q, "even boolean, elev boolean", is_uniform_rows(even), is_uniform_rows(q.elev))
+
+
+def _narrowed(q: Grids) -> Layer:
+    even = g.from_table(q.elev.table.rows.withColumn("elev", F.col("y") * 3), "elev", Window(0, 0, 50, q.height), UNIT, True)
+    return q.elev * narrowed(even)
+
+
+add("narrow_file", _narrow_file, ORACLE_SQL["narrow_broadcast"])
+add("narrowed", _narrowed, own_sql("3 * y * v"))
+add("uniform_rows", _uniform, "select true as even, false as elev")
+add("folder_mosaic", _folder_mosaic, ORACLE_SQL["group_priority"])
+add("save_into_band", _into_band, f"with a as ({ELEV}), b as ({SHIFT}) select a.y, a.x, (a.v * 100 + coalesce(b.v, 0))::bigint as v from a left join b on a.y = b.y and a.x = b.x")
+add("pickled", _pickled, own_sql("v * 2 + 1"))
+add("parallel_sum", lambda q: _one(q, "sum double", (q.elev * q.elev).parallel_sum()), f"select sum(v * v)::double as sum from ({ELEV})")
+add("mosaic_single", lambda q: g.Mosaic([q.part("elev", nodata=13.0)]), own_sql("case when v = 13 then 0.0::double else v::double end"))
+add("mosaic_of_expressions", lambda q: g.Mosaic([q.rects(1), q.elev * 2]), f"""{_cells}, b as (select distinct y, x from c), span as (select min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from c), a as ({ELEV}),
+    g as (select y, x from (select unnest(generate_series(0, greatest({H} - 1, (select y1 from span)))) as y) cross join (select unnest(generate_series(0, greatest(49, (select x1 from span)))) as x))
+    select g.y, g.x, (case when g.y between y0 and y1 and g.x between x0 and x1 then (b.y is not null)::int else coalesce(a.v * 2, 0) end)::double as v
+    from g cross join span left join b on g.y = b.y and g.x = b.x left join a on g.y = a.y and g.x = a.x""")
+add("mosaic_type", lambda q: _one(q, "datatype string", g.Mosaic([q.part("price"), q.elev]).datatype.value), "select 'int32' as datatype")
+
+
+def _metadata(q: Grids) -> DataFrame:
+    layer = q.part("elev", dy=3, dx=5, nodata=13.0)
+    a = layer.area
+    return _one(q, "name string, width int, height int, datatype string, nodata double, projection string, left_x double, top_y double, right_x double, bottom_y double", layer.name, *layer.dimensions, layer.datatype.value, layer.nodata, layer.projection.name, a.left, a.top, a.right, a.bottom)
+
+
+def _reprojected_area(q: Grids) -> DataFrame:
+    a = Area(-10.0, 10.0, 10.0, -10.0, MapProjection("EPSG:4326", 0.5, -0.5)).reproject(MapProjection("EPSG:3857", 1e5, -1e5))
+    b = Area(0.2, -0.2, 3.7, -2.2).project_like(q.elev.area)
+    return q.spark.createDataFrame([("reproject", a.left, a.top, a.right, a.bottom), ("project_like", b.left, b.top, b.right, b.bottom)], "what string, left_x double, top_y double, right_x double, bottom_y double")
+
+
+def _tree(q: Grids) -> DataFrame:
+    seen: list[float] = []
+    with (q.elev + q.shift) * 2 as layer:
+        layer.sum(callback=seen.append)
+        text, dot = layer.pretty_print(), layer.to_graphviz()
+    return _one(q, "lines string, nodes int, edges int, progress string", text.replace("\n", "|"), dot.count("label"), dot.count("->"), " ".join(map(str, seen)))
 
 
-add("save_and_sum", _grid_round_trip, own_sql("v"))
+add("metadata", _metadata, f"select 'elev' as name, 50 as width, {H}::int as height, 'int32' as datatype, 13.0::double as nodata, 'ESRI:54009' as projection, 5.0::double as left_x, -3.0::double as top_y, 55.0::double as right_x, -({H} + 3)::double as bottom_y")
+add("reprojected_area", _reprojected_area, f"""select 'reproject' as what, floor({_R} * radians(-10) / 1e5) * 1e5 as left_x, ceil({_R} * ln(tan(pi() / 4 + radians(10) / 2)) / 1e5) * 1e5 as top_y, ceil({_R} * radians(10) / 1e5) * 1e5 as right_x,
+    -ceil({_R} * ln(tan(pi() / 4 + radians(10) / 2)) / 1e5) * 1e5 as bottom_y union all select 'project_like', 0.0, 0.0, 4.0, -3.0""")
+add("tree", _tree, "select 'mul|  add|    elev|    elev|  2' as lines, 5::int as nodes, 4::int as edges, '0.0 1.0' as progress")
 
 
 def _places(q: Grids) -> DataFrame:

@@ -6,6 +6,7 @@ import errno
 import json
 import math
 import os
+import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -20,7 +21,7 @@ from gridloom.operators.mosaic import Mosaic, MosaicEmpty
 from gridloom.plans import crs
 from gridloom.plans.geometry import Area, MapProjection, Window
 from gridloom.plans.layer import Constant, Formula, Layer, PixelTable, RowLayer, TableLayer, session
-from gridloom.sources import tiff
+from gridloom.sources import sinks, tiff
 
 #: A folder with a Parquet grid keeps its description in this text file; readers of Parquet skip such names.
 DESCRIPTION = "_grid"
@@ -74,7 +75,36 @@ def constant(value: float) -> Constant:
 
 
 # ----------------------------------------------------------------------------------------------------- from files
-def _open(filename, band: int, ignore_nodata: bool) -> TableLayer:
+class FilePixels(PixelTable):
+    """The pixels of a GeoTIFF file: only the blocks that a window meets are read, only the bands that are asked for decoded."""
+
+    def __init__(self, path: str, info: tiff.Info, y0: int, x0: int):
+        self.path, self.info, self.origin = path, info, (y0, x0)
+        self.dense, self.key = not info.sparse, ("tiff", path, os.stat(path).st_mtime_ns, os.path.getsize(path))
+
+    @property
+    def rows(self) -> DataFrame:
+        return tiff.pixels(self.path, self.info, *self.origin)
+
+    def kind(self, band: str) -> str:
+        return "f" if self.info.datatype.is_float else "i"
+
+    def within(self, w: Window, bands: Sequence[str]) -> DataFrame:
+        return tiff.pixels(self.path, self.info, *self.origin, w, [int(b[1:]) for b in bands])
+
+
+class FileLayer(TableLayer):
+    """A band of a file.  It is pickled by its name, so it can go to other processes."""
+
+    def __init__(self, table: PixelTable, band: str, area: Area, datatype: DataType, nodata: float | None, ignore_nodata: bool, name: str, source: tuple):
+        super().__init__(table, band, area, datatype, nodata, ignore_nodata, name)
+        self.source = source
+
+    def __reduce__(self):
+        return read_raster, self.source
+
+
+def _open(filename, band: int, ignore_nodata: bool) -> FileLayer:
     path = str(filename)
     if os.path.isdir(path) or path.endswith(".parquet") or "://" in path:
         return _read_grid(path, band, ignore_nodata)
@@ -87,26 +117,79 @@ def _open(filename, band: int, ignore_nodata: bool) -> TableLayer:
     p = MapProjection(info.projection or "EPSG:4326", xstep, ystep)
     area = Area(left, top, left + info.width * xstep, top + info.height * ystep, p)
     w = area.window
-    rows = tiff.pixels(path, info, w.yoff, w.xoff)
     name = info.descriptions[band - 1] or path
-    return TableLayer(PixelTable(rows, not info.sparse, ("tiff", path, os.path.getmtime(path))), f"b{band}", area, info.datatype, info.nodata, ignore_nodata, name)
+    return FileLayer(FilePixels(path, info, w.yoff, w.xoff), f"b{band}", area, info.datatype, info.nodata, ignore_nodata, name, (path, band, ignore_nodata))
 
 
-def _read_grid(path: str, band: int, ignore_nodata: bool) -> TableLayer:
-    spark = session()
+def _grid_description(path: str) -> dict:
     try:
-        text = spark.read.text(f"{path}/{DESCRIPTION}").collect()
+        text = session().read.text(f"{path}/{DESCRIPTION}").collect()
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(errno.ENOENT, os.strerror(errno.ENOENT), path) from e
         raise
-    d = json.loads("".join(r["value"] for r in text))
+    return json.loads("".join(r["value"] for r in text))
+
+
+def _read_grid(path: str, band: int, ignore_nodata: bool) -> FileLayer:
+    d = _grid_description(path)
     if not 1 <= band <= len(d["bands"]):
         raise InvalidRasterBand(band)
     area = Area(*d["area"], MapProjection(*d["projection"]))
-    table = PixelTable(spark.read.parquet(path), d["dense"], ("grid", path))
+    table = PixelTable(session().read.parquet(path), d["dense"], ("grid", path))
     b = d["bands"][band - 1]
-    return TableLayer(table, b["name"], area, DataType(b["datatype"]), d["nodata"], ignore_nodata, b["label"] or path)
+    return FileLayer(table, b["name"], area, DataType(b["datatype"]), d["nodata"], ignore_nodata, b["label"] or path, (path, band, ignore_nodata))
+
+
+def empty_raster(filename, area: Area, datatype: DataType, bands: int = 1, nodata: float | None = None) -> FileLayer:
+    """A new GeoTIFF file without pixels, to save layers into; it reads as its nodata value, or 0.
+
+    Without a nodata value, 0 is what isn't there.
+    """
+    if area.projection is None:
+        raise ValueError("an empty raster needs an area with a projection")
+    path = Path(filename).absolute()
+    path.parent.mkdir(parents=True, exist_ok=True)
+    w = area.window
+    rows = max(1, min(sinks.STRIP, w.ysize, sinks.STRIP_PIXELS // w.xsize))
+    tiff.write(str(path), {}, w.xsize, w.ysize, bands, rows, datatype, area.geo_transform, area.projection.name, nodata, [None] * bands)
+    return read_raster(path)
+
+
+def empty_raster_like(layer: Layer, filename, area: Area | None = None, datatype: DataType | None = None, bands: int = 1, nodata: float | None = None) -> FileLayer:
+    """A new GeoTIFF file of a layer's area, type and nodata value, where others aren't given."""
+    return empty_raster(filename, area or layer.area, datatype or layer.datatype, bands, layer.nodata if nodata is None else nodata)
+
+
+def replace_band(layer: Layer, destination: Layer, band: int = 1, and_sum: bool = False, callback=None) -> float | None:
+    """Write a layer as one band of a file that is there already; the file's area and type win, other bands stay.
+
+    The file is written anew beside the old one, which it replaces at the end.
+    """
+    if not isinstance(destination, FileLayer):
+        raise TypeError("the destination must be a layer that was read from a file")
+    path = destination.source[0]
+    is_file = isinstance(destination.table, FilePixels)
+    count = destination.table.info.bands if is_file else len(_grid_description(path)["bands"])
+    if not 1 <= band <= count:
+        raise InvalidRasterBand(band)
+    old = [read_raster(path, i + 1, True) for i in range(count)]
+    labels = [None if x.name == path else x.name for x in old]
+    new = layer.as_area(destination.area).as_type(destination.datatype)
+    bands = [new if i + 1 == band else x for i, x in enumerate(old)]
+    total = new.sum() if and_sum else None
+    if is_file:
+        sinks.to_geotiff(path, bands, labels, nodata=destination.nodata, callback=callback)
+        return total
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    sinks.bands_to_parquet(bands, beside, labels, destination.nodata)
+    spark = session()
+    new_path, old_path = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path))
+    files = old_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old_path, True)
+    if not files.rename(new_path, old_path):
+        raise OSError(f"{beside} can't be moved to {path}")
+    return total
 
 
 def read_raster(filename, band: int = 1, ignore_nodata: bool = False) -> TableLayer:

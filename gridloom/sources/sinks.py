@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import shutil
 import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -19,6 +20,7 @@ from gridloom.functions.dtypes import DataType
 from gridloom.functions.pointwise import Value
 from gridloom.plans.geometry import Window
 from gridloom.plans.layer import MISMATCH, Layer, find_union, lower, session
+from gridloom.sources import tiff
 
 #: Most rows and most pixels of a strip of a GeoTIFF file, which one task makes at a time.
 STRIP, STRIP_PIXELS = 512, 4_000_000
@@ -82,8 +84,10 @@ def bands_to_parquet(bands: Sequence[Layer], path: str, labels: Sequence[str] |
 def to_geotiff(filename, bands: Sequence[Layer], labels: Sequence[str] | None = None, parallelism=None, nodata: float | None = None, sparse: bool = False, and_sum: bool = False, callback: Callable[[float], None] | None = None) -> float | None:
     """Write layers as the bands of one GeoTIFF file.
 
-    Tasks make and deflate strips of 512 rows; the driver appends them as they come, a partition at a time, to a
-    file beside the target, which takes its place at the end.  parallelism is Spark's own affair.
+    Tasks make and deflate strips of 512 rows into a folder beside the target and tell their sizes; the driver writes the
+    frame of a file there, into which tasks copy the strips, each at its place; that file takes the target's place at the end.
+    No pixel passes through the driver, and a task that is run again does the same again.  The folder must be one that all
+    executors share.  parallelism is Spark's own affair.
     """
     if not bands:
         raise ValueError("no bands")
@@ -98,53 +102,68 @@ def to_geotiff(filename, bands: Sequence[Layer], labels: Sequence[str] | None =
     per = -(-w.ysize // strip)
     empty = None if nodata is None else float(nodata)
 
+    target = Path(filename).absolute()
+    target.parent.mkdir(parents=True, exist_ok=True)
+    folder = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+    folder.mkdir()
+
     def pack(table: pa.Table) -> pa.Table:
         number = table["strip"][0].as_py()
         height = min(strip, w.ysize - number * strip)
         y, x = table["y"].to_numpy() - w.yoff - number * strip, table["x"].to_numpy() - w.xoff
-        out, sums = [], []
-        for n in names:
+        sizes, sums = [], []
+        for i, n in enumerate(names):
             data = np.full((height, w.xsize), nodata if sparse else 0).astype(kind)
-            data[y, x] = np.asarray(table[n].to_pylist() if table.schema.field(n).type not in (pa.float64(), pa.int64()) else table[n].to_numpy()).astype(kind)
+            column = table[n].cast(pa.int64()) if pa.types.is_decimal(table.schema.field(n).type) else table[n]
+            data[y, x] = column.to_numpy().astype(kind)
             skip = sparse and bool(np.all(data == empty) if not math.isnan(empty) else np.all(np.isnan(data)))
             wide = data.astype(np.float64)
             sums.append(float(np.where(wide == empty, np.nan, wide).sum()) if empty is not None else float(wide.sum()))
-            out.append(b"" if skip else zlib.compress(data.tobytes(), 6))
-        return pa.table({"number": pa.array([number + per * i for i in range(len(names))], pa.int64()), "data": pa.array(out, pa.binary()), "total": pa.array(sums)})
-
-    packed = rows.withColumn("strip", F.floor((F.col("y") - w.yoff) / strip).cast("int")).groupBy("strip").applyInArrow(pack, "number long, data binary, total double")
-    target = Path(filename)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
-    total, done = [0.0], [0]
-
-    def strips() -> Iterator[tuple[int, bytes]]:
-        for r in packed.toLocalIterator():
-            if r["number"] < per:
-                total[0] += r["total"]
-            if r["data"]:
-                yield r["number"], bytes(r["data"])
-            done[0] += 1
-            if callback:
-                callback(min(done[0] / (per * len(names)), 1.0))
-
+            packed = b"" if skip else zlib.compress(data.tobytes(), 6)
+            sizes.append(len(packed))
+            if packed:
+                part = folder / f"{number + per * i}.{uuid.uuid4().hex}"
+                part.write_bytes(packed)
+                os.replace(part, folder / str(number + per * i))
+        return pa.table({"number": pa.array([number + per * i for i in range(len(names))], pa.int64()), "size": pa.array(sizes, pa.int64()), "total": pa.array(sums)})
+
+    packed = rows.withColumn("strip", F.floor((F.col("y") - w.yoff) / strip).cast("int")).groupBy("strip").applyInArrow(pack, "number long, size long, total double")
+    total, sizes = 0.0, {}
     try:
         if callback:
             callback(0.0)
-        tiff_write(str(part), strips(), w, bands, strip, datatype, nodata, labels)
-        os.replace(part, target)
+        for done, r in enumerate(packed.toLocalIterator(), 1):
+            total += r["total"] if r["number"] < per else 0.0
+            if r["size"]:
+                sizes[r["number"]] = r["size"]
+            if callback:
+                callback(min(done / (per * len(names) + 1), 1.0))
+        area, whole = find_union(bands), folder / "whole"
+        places = tiff.write(str(whole), sizes, w.xsize, w.ysize, len(bands), strip, datatype, area.geo_transform, area.projection.name, nodata, list(labels or [None] * len(bands)))
+        if places:
+            _fill(folder, whole, places)
+        os.replace(whole, target)
         if callback:
             callback(1.0)
     finally:
-        part.unlink(missing_ok=True)
-    return total[0] if and_sum else None
+        shutil.rmtree(folder, ignore_errors=True)
+    return total if and_sum else None
+
 
+def _fill(folder: Path, whole: Path, places: dict[int, int]) -> None:
+    """Tasks copy the strips of a folder to their places in a file."""
 
-def tiff_write(path: str, strips, w: Window, bands: Sequence[Layer], rows: int, datatype: DataType, nodata: float | None, labels) -> None:
-    from gridloom.sources import tiff
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(whole, "r+b") as f:
+            for batch in batches:
+                for number, at in zip(batch.column("number").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                    f.seek(at)
+                    f.write((folder / str(number)).read_bytes())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
 
-    area = find_union(bands)
-    tiff.write(path, strips, w.xsize, w.ysize, len(bands), rows, datatype, area.geo_transform, area.projection.name, nodata, list(labels or [None] * len(bands)))
+    spark = session()
+    table = spark.createDataFrame(pa.table({"number": pa.array(list(places), pa.int64()), "at": pa.array(list(places.values()), pa.int64())}))
+    table.repartition(max(1, min(len(places), spark.sparkContext.defaultParallelism * 4))).mapInArrow(run, "n long").agg(F.sum("n")).first()
 
 
 def layer_to_geotiff(layer: Layer, filename, and_sum: bool, callback, nodata: float | None, sparse: bool) -> float | None:

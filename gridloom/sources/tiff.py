@@ -1,12 +1,12 @@
-"""GeoTIFF files: a reader whose strips and tiles are read by tasks, and a writer that streams compressed strips."""
+"""GeoTIFF files: a reader whose strips and tiles are read by tasks, and a writer of the frame that tasks fill with strips."""
 
 from __future__ import annotations
 
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 from xml.sax.saxutils import escape
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from gridloom.functions.dtypes import DataType
 from gridloom.plans import crs
+from gridloom.plans.geometry import Window
 
 _SIZES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
 _FORMATS = {"u": 1, "i": 2, "f": 3}
@@ -161,38 +162,63 @@ def _block(data: bytes, info: Info, rows: int) -> np.ndarray:
     return np.cumsum(out, axis=1, dtype=info.datatype.numpy) if info.predictor == 2 else out
 
 
-def pixels(path: str, info: Info, y0: int, x0: int) -> DataFrame:
-    """(y, x, b1 ...): every stored pixel, numbered from y0, x0.  A task reads some of the file's blocks."""
-    from gridloom.plans.layer import session
-
+def blocks(info: Info, y0: int, x0: int, window: Window | None, bands: Sequence[int]) -> list[tuple[int, list[int], list[int]]]:
+    """(number, offsets, sizes) of the stored blocks that a window of pixels numbered from y0, x0 meets; one offset and size,
+    or where each band is a plane of its own, one for each of ``bands``."""
     across, down = -(-info.width // info.block[0]), -(-info.height // info.block[1])
-    per = across * down
-    planes = 1 if info.planar == 1 else info.bands
-    blocks = [(i,) for i in range(per) if any(info.counts[i + p * per] for p in range(planes))]
+    rows, columns = range(down), range(across)
+    if window is not None:
+        first = [max(0, v) for v in (window.yoff - y0, window.xoff - x0)]
+        end = [min(v, most) for v, most in ((window.yend - y0, info.height), (window.xend - x0, info.width))]
+        rows, columns = (range(a // size, -(-b // size) if b > a else a // size) for a, b, size in zip(first, end, info.block[::-1], strict=True))
+    planes = [0] if info.planar == 1 else [b - 1 for b in bands]
+    out = []
+    for by in rows:
+        for bx in columns:
+            places = [by * across + bx + p * across * down for p in planes]
+            if any(info.counts[i] for i in places):
+                out.append((by * across + bx, [info.offsets[i] for i in places], [info.counts[i] for i in places]))
+    return out
+
+
+def pixels(path: str, info: Info, y0: int, x0: int, window: Window | None = None, bands: Sequence[int] | None = None) -> DataFrame:
+    """(y, x, b1 ...): the stored pixels of a window (all without one), numbered from y0, x0, of some bands (all: None).
+
+    A task reads and decodes some of the blocks that the window meets; no other is touched.
+    """
+    from gridloom.plans.layer import session, within
+
+    bands = list(range(1, info.bands + 1) if bands is None else sorted(set(bands)))
+    found = blocks(info, y0, x0, window, bands)
     spark = session()
-    table = spark.createDataFrame(blocks, "block int").repartition(max(1, min(len(blocks), spark.sparkContext.defaultParallelism * 4)))
+    schema = pa.schema([("block", pa.int32()), ("offsets", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
+    tasks = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(list(zip(*found, strict=True)) or [()] * 3, schema, strict=True)], schema=schema)
+    table = spark.createDataFrame(tasks).repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism * 4)))
+    across = -(-info.width // info.block[0])
     kind = np.float64 if info.datatype.is_float else np.int64
+    info = replace(info, offsets=(), counts=())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open(path, "rb") as f:
             for batch in batches:
-                for i in batch.column("block").to_pylist():
+                for i, offsets, sizes in zip(*(batch.column(c).to_pylist() for c in ("block", "offsets", "sizes")), strict=True):
                     by, bx = divmod(i, across)
                     rows = info.block[1] if info.block != (info.width, info.block[1]) else min(info.block[1], info.height - by * info.block[1])
                     layers = []
-                    for p in range(planes):
-                        f.seek(info.offsets[i + p * per])
-                        data = f.read(info.counts[i + p * per])
+                    for offset, size in zip(offsets, sizes, strict=True):
+                        f.seek(offset)
+                        data = f.read(size)
                         layers.append(_block(data, info, rows) if data else np.full((rows, info.block[0], 1), info.nodata or 0, info.datatype.numpy))
-                    values = np.concatenate(layers, axis=2) if planes > 1 else layers[0]
+                    values = [layers[0][:, :, b - 1] for b in bands] if info.planar == 1 else [v[:, :, 0] for v in layers]
                     h, w = min(rows, info.height - by * info.block[1]), min(info.block[0], info.width - bx * info.block[0])
                     y, x = np.mgrid[0:h, 0:w]
                     columns = [pa.array(y.ravel() + by * info.block[1] + y0), pa.array(x.ravel() + bx * info.block[0] + x0)]
-                    columns += [pa.array(values[:h, :w, b].ravel().astype(kind)) for b in range(info.bands)]
-                    yield pa.RecordBatch.from_arrays(columns, ["y", "x", *(f"b{b + 1}" for b in range(info.bands))])
+                    columns += [pa.array(v[:h, :w].ravel().astype(kind)) for v in values]
+                    yield pa.RecordBatch.from_arrays(columns, ["y", "x", *(f"b{b}" for b in bands)])
 
     spark_kind = "double" if info.datatype.is_float else "long"
-    return table.mapInArrow(run, "y long, x long, " + ", ".join(f"b{b + 1} {spark_kind}" for b in range(info.bands)))
+    rows = table.mapInArrow(run, "y long, x long, " + ", ".join(f"b{b} {spark_kind}" for b in bands))
+    return rows if window is None else within(rows, window)
 
 
 # -------------------------------------------------------------------------------------------------------- writing
@@ -206,18 +232,21 @@ def _geo(projection: str) -> tuple[list[int], bytes]:
     return [1, 1, 0, 4, 1024, 0, 1, 1, 1026, 34737, len(text), 0, 3072, 0, 1, 32767, 3076, 0, 1, 9001], text + b"\0"
 
 
-def write(path: str, strips: Iterable[tuple[int, bytes]], width: int, height: int, bands: int, rows: int, datatype: DataType, transform, projection: str, nodata: float | None, labels: list[str | None]) -> None:
-    """A BigTIFF file of deflated strips of ``rows`` rows, each band in a plane of its own.
+def write(path: str, sizes: dict[int, int], width: int, height: int, bands: int, rows: int, datatype: DataType, transform, projection: str, nodata: float | None, labels: list[str | None]) -> dict[int, int]:
+    """The frame of a BigTIFF file of deflated strips of ``rows`` rows, each band in a plane of its own.
 
-    strips: (number, data), in any order; strips that don't come are left out of the file (sparse).
+    sizes: bytes of each strip by number; strips that have none are left out of the file (sparse).  Returns where each strip
+    is to be written.
     """
     per = -(-height // rows)
-    offsets, counts = [0] * (per * bands), [0] * (per * bands)
+    offsets, counts, at = [0] * (per * bands), [0] * (per * bands), 16
+    for number in sorted(sizes):
+        offsets[number], counts[number] = at, sizes[number]
+        at += sizes[number]
     with open(path, "wb") as f:
         f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0))
-        for number, data in strips:
-            offsets[number], counts[number] = f.tell(), len(data)
-            f.write(data)
+        f.truncate(at)
+        f.seek(at)
         keys, text = _geo(projection)
         left, xs, _, top, _, ys = transform
         bits, form = 8 * datatype.sizeof, _FORMATS[datatype.numpy.kind]
@@ -252,3 +281,4 @@ def write(path: str, strips: Iterable[tuple[int, bytes]], width: int, height: in
         f.write(struct.pack("<Q", len(entries)) + b"".join(entries) + struct.pack("<Q", 0))
         f.seek(8)
         f.write(struct.pack("<Q", at))
+    return {number: offsets[number] for number in sizes}
