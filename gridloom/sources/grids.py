@@ -20,7 +20,7 @@ from gridloom.functions.pointwise import Value
 from gridloom.operators.mosaic import Mosaic, MosaicEmpty
 from gridloom.plans import crs
 from gridloom.plans.geometry import Area, MapProjection, Window
-from gridloom.plans.layer import Constant, Formula, Layer, PixelTable, RowLayer, TableLayer, session
+from gridloom.plans.layer import Constant, Formula, Layer, PixelTable, RowLayer, TableLayer, session, within
 from gridloom.sources import sinks, tiff
 
 #: A folder with a Parquet grid keeps its description in this text file; readers of Parquet skip such names.
@@ -103,6 +103,22 @@ class FileLayer(TableLayer):
     def __reduce__(self):
         return read_raster, self.source
 
+    @property
+    def scan_key(self) -> tuple | None:
+        """Layers with equal keys can be read in one scan, if they are dense and don't meet."""
+        if not self.dense:
+            return None
+        what = self.table.info.datatype if isinstance(self.table, FilePixels) else self.table.rows.schema.simpleString()
+        return type(self.table), what, self.band, self._nodata, self.masked
+
+    @staticmethod
+    def scan(layers: Sequence[FileLayer], w: Window) -> DataFrame:
+        """The pixels of layers of one scan_key, with the column of their band."""
+        first = layers[0]
+        if isinstance(first.table, FilePixels):
+            return tiff.scan([(t.path, t.info, *t.origin) for t in (layer.table for layer in layers)], w, [int(first.band[1:])])
+        return within(session().read.schema(first.table.rows.schema).parquet(*(layer.source[0] for layer in layers)), w)
+
 
 def _open(filename, band: int, ignore_nodata: bool) -> FileLayer:
     path = str(filename)

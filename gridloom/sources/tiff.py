@@ -182,41 +182,47 @@ def blocks(info: Info, y0: int, x0: int, window: Window | None, bands: Sequence[
 
 
 def pixels(path: str, info: Info, y0: int, x0: int, window: Window | None = None, bands: Sequence[int] | None = None) -> DataFrame:
-    """(y, x, b1 ...): the stored pixels of a window (all without one), numbered from y0, x0, of some bands (all: None).
+    """(y, x, b1 ...): the stored pixels of a window (all without one), numbered from y0, x0, of some bands (all: None)."""
+    return scan([(path, info, y0, x0)], window, bands)
+
+
+def scan(files: Sequence[tuple[str, Info, int, int]], window: Window | None = None, bands: Sequence[int] | None = None) -> DataFrame:
+    """The pixels of several files of one pixel type.
 
     A task reads and decodes some of the blocks that the window meets; no other is touched.
     """
     from gridloom.plans.layer import session, within
 
-    bands = list(range(1, info.bands + 1) if bands is None else sorted(set(bands)))
-    found = blocks(info, y0, x0, window, bands)
+    first = files[0][1]
+    bands = list(range(1, first.bands + 1) if bands is None else sorted(set(bands)))
+    found = [(i, *block) for i, (_, info, y0, x0) in enumerate(files) for block in blocks(info, y0, x0, window, bands)]
     spark = session()
-    schema = pa.schema([("block", pa.int32()), ("offsets", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
-    tasks = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(list(zip(*found, strict=True)) or [()] * 3, schema, strict=True)], schema=schema)
+    schema = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("offsets", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
+    tasks = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(list(zip(*found, strict=True)) or [()] * 4, schema, strict=True)], schema=schema)
     table = spark.createDataFrame(tasks).repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism * 4)))
-    across = -(-info.width // info.block[0])
-    kind = np.float64 if info.datatype.is_float else np.int64
-    info = replace(info, offsets=(), counts=())
+    kind = np.float64 if first.datatype.is_float else np.int64
+    slim = [(path, replace(info, offsets=(), counts=()), y0, x0) for path, info, y0, x0 in files]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(path, "rb") as f:
-            for batch in batches:
-                for i, offsets, sizes in zip(*(batch.column(c).to_pylist() for c in ("block", "offsets", "sizes")), strict=True):
-                    by, bx = divmod(i, across)
-                    rows = info.block[1] if info.block != (info.width, info.block[1]) else min(info.block[1], info.height - by * info.block[1])
-                    layers = []
+        for batch in batches:
+            for number, i, offsets, sizes in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "offsets", "sizes")), strict=True):
+                path, info, y0, x0 = slim[number]
+                by, bx = divmod(i, -(-info.width // info.block[0]))
+                rows = info.block[1] if info.block != (info.width, info.block[1]) else min(info.block[1], info.height - by * info.block[1])
+                layers = []
+                with open(path, "rb") as f:
                     for offset, size in zip(offsets, sizes, strict=True):
                         f.seek(offset)
                         data = f.read(size)
                         layers.append(_block(data, info, rows) if data else np.full((rows, info.block[0], 1), info.nodata or 0, info.datatype.numpy))
-                    values = [layers[0][:, :, b - 1] for b in bands] if info.planar == 1 else [v[:, :, 0] for v in layers]
-                    h, w = min(rows, info.height - by * info.block[1]), min(info.block[0], info.width - bx * info.block[0])
-                    y, x = np.mgrid[0:h, 0:w]
-                    columns = [pa.array(y.ravel() + by * info.block[1] + y0), pa.array(x.ravel() + bx * info.block[0] + x0)]
-                    columns += [pa.array(v[:h, :w].ravel().astype(kind)) for v in values]
-                    yield pa.RecordBatch.from_arrays(columns, ["y", "x", *(f"b{b}" for b in bands)])
-
-    spark_kind = "double" if info.datatype.is_float else "long"
+                values = [layers[0][:, :, b - 1] for b in bands] if info.planar == 1 else [v[:, :, 0] for v in layers]
+                h, w = min(rows, info.height - by * info.block[1]), min(info.block[0], info.width - bx * info.block[0])
+                y, x = np.mgrid[0:h, 0:w]
+                columns = [pa.array(y.ravel() + by * info.block[1] + y0), pa.array(x.ravel() + bx * info.block[0] + x0)]
+                columns += [pa.array(v[:h, :w].ravel().astype(kind)) for v in values]
+                yield pa.RecordBatch.from_arrays(columns, ["y", "x", *(f"b{b}" for b in bands)])
+
+    spark_kind = "double" if first.datatype.is_float else "long"
     rows = table.mapInArrow(run, "y long, x long, " + ", ".join(f"b{b} {spark_kind}" for b in bands))
     return rows if window is None else within(rows, window)
 

@@ -1,15 +1,24 @@
-"""Polygon sources: tables of rectangles, GeoJSON, GeoPackage and ESRI shapefiles."""
+"""Polygon sources: tables of rectangles, GeoJSON, GeoPackage and ESRI shapefiles.
+
+Files are parsed by tasks, never by the driver: GeoPackage tables by ranges of row numbers, shapefiles by ranges of records,
+GeoJSON with one feature in a line by parts of the file and any other GeoJSON as a whole.  The driver learns
+the names and types of the attributes only.
+"""
 
 from __future__ import annotations
 
 import errno
 import json
 import os
+import re
 import sqlite3
 import struct
+from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,58 +85,134 @@ def _wkb(data: bytes, at: int = 0) -> tuple[Rings, int]:
     return rings, at
 
 
-def _geojson(path: str) -> tuple[list[dict], str]:
-    with open(path, encoding="utf-8") as f:
-        d = json.load(f)
-    name = ((d.get("crs") or {}).get("properties") or {}).get("name", "EPSG:4326")
-    name = "EPSG:4326" if "CRS84" in name else name.replace("urn:ogc:def:crs:", "").replace("::", ":")
-    features = d["features"] if d.get("type") == "FeatureCollection" else [d]
-    return [{**(x.get("properties") or {}), "_rings": _flat(x.get("geometry"))} for x in features], name
+Feature = tuple[int, dict, Rings]  # number, attributes, rings
+#: Features, or bytes of a file, that one task parses at least.
+PART_ROWS, PART_BYTES = 10_000, 32 << 20
+
+
+def _parts(size: int, least: int) -> list[tuple[int, int]]:
+    """(first, end) of the parts that a size is cut into."""
+    n = max(1, min(-(-size // least), session().sparkContext.defaultParallelism * 4))
+    cuts = [size * i // n for i in range(n + 1)]
+    return list(zip(cuts, cuts[1:], strict=False))
 
 
-def _geopackage(path: str) -> tuple[list[dict], str]:
+def _geojson_head(path: str) -> tuple[list[tuple[int, int]], str]:
+    with open(path, encoding="utf-8", errors="replace") as f:
+        head = f.read(4096)
+    found = re.search(r'"crs"\s*:\s*\{.*?"name"\s*:\s*"([^"]+)"', head, re.S)
+    name = found.group(1) if found else "EPSG:4326"
+    name = "EPSG:4326" if "CRS84" in name else name.replace("urn:ogc:def:crs:", "").replace("::", ":")
+    lines = [x.strip().rstrip(",") for x in head.split("\n")]
+    whole = [x for x in lines[:-1] if x.startswith("{") and x.endswith("}") and '"Feature"' in x]
+    size = os.path.getsize(path)
+    return (_parts(size, PART_BYTES) if whole else [(0, -1)]), name
+
+
+def _geojson(path: str, first: int, end: int) -> Iterator[Feature]:
+    """The features that start between two places of a file with a feature in each line, numbered by their places; all for end -1."""
+    if end < 0:
+        with open(path, encoding="utf-8") as f:
+            d = json.load(f)
+        for i, x in enumerate(d["features"] if d.get("type") == "FeatureCollection" else [d]):
+            yield i, x.get("properties") or {}, _flat(x.get("geometry"))
+        return
+    with open(path, "rb") as f:
+        f.seek(max(first - 1, 0))
+        if first:
+            f.readline()
+        while (at := f.tell()) < end and (line := f.readline()):
+            text = line.strip().rstrip(b",")
+            if text.startswith(b"{") and text.endswith(b"}"):
+                x = json.loads(text)
+                if x.get("type") == "Feature":
+                    yield at, x.get("properties") or {}, _flat(x.get("geometry"))
+
+
+def _geopackage_head(path: str) -> tuple[list[tuple[int, int]], str]:
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
-        table, column, srs = con.execute("select table_name, column_name, srs_id from gpkg_geometry_columns").fetchone()
+        table, _, srs = con.execute("select table_name, column_name, srs_id from gpkg_geometry_columns").fetchone()
         org, code = con.execute("select organization, organization_coordsys_id from gpkg_spatial_ref_sys where srs_id = ?", (srs,)).fetchone() or ("EPSG", srs)
-        cursor = con.execute(f'select * from "{table}"')
-        names, out = [c[0] for c in cursor.description], []
+        low, top = con.execute(f'select min(rowid), max(rowid) from "{table}"').fetchone()
+    low, top = low or 0, top or 0
+    return [(low + a, low + b) for a, b in _parts(top - low + 1, PART_ROWS)], f"{org.upper()}:{code}" if code > 0 else "EPSG:4326"
+
+
+def _geopackage(path: str, first: int, end: int) -> Iterator[Feature]:
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+        table, column = con.execute("select table_name, column_name from gpkg_geometry_columns").fetchone()
+        cursor = con.execute(f'select rowid, * from "{table}" where rowid >= ? and rowid < ? order by rowid', (first, end))
+        names = [c[0] for c in cursor.description][1:]
         for row in cursor:
-            d = dict(zip(names, row, strict=True))
+            d = dict(zip(names, row[1:], strict=True))
             blob = d.pop(column)
             size = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[blob[3] >> 1 & 7] if blob else 0
-            out.append({**d, "_rings": _wkb(blob, 8 + size)[0] if blob and not blob[3] >> 4 & 1 else []})
-    return out, f"{org.upper()}:{code}" if code > 0 else "EPSG:4326"
+            yield row[0], d, _wkb(blob, 8 + size)[0] if blob and not blob[3] >> 4 & 1 else []
+
+
+def _shapefile_head(path: str) -> tuple[list[tuple[int, int]], str]:
+    base = Path(path).with_suffix("")
+    prj, index = base.with_suffix(".prj"), base.with_suffix(".shx")
+    parts = _parts((index.stat().st_size - 100) // 8, PART_ROWS) if index.exists() else [(0, -1)]
+    return parts, prj.read_text() if prj.exists() else "EPSG:4326"
 
 
-def _shapefile(path: str) -> tuple[list[dict], str]:
+def _shapefile(path: str, first: int, end: int) -> Iterator[Feature]:
+    """Records ``first`` to ``end`` by the index; all in the order of the file where there is none (end -1)."""
     base = Path(path).with_suffix("")
-    shapes: list[Rings] = []
-    data = Path(path).read_bytes()
-    at = 100
-    while at < len(data):
-        size = struct.unpack_from(">i", data, at + 4)[0] * 2
-        kind = struct.unpack_from("<i", data, at + 8)[0]
-        rings: Rings = []
-        if kind in (5, 15, 25):
-            parts, points = struct.unpack_from("<2i", data, at + 44)
-            starts = [*struct.unpack_from(f"<{parts}i", data, at + 52), points]
-            xy = np.frombuffer(data, "<f8", 2 * points, at + 52 + 4 * parts).reshape(-1, 2).tolist()
-            rings = [[tuple(p) for p in xy[a:b]] for a, b in zip(starts, starts[1:], strict=False)]
-        shapes.append(rings)
-        at += 8 + size
-    rows: list[dict] = [{} for _ in shapes]
-    if (dbf := base.with_suffix(".dbf")).exists():
-        d = dbf.read_bytes()
-        n, head, width = struct.unpack_from("<IHH", d, 4)
-        fields = [(d[i : i + 11].split(b"\0")[0].decode(), chr(d[i + 11]), d[i + 16], d[i + 17]) for i in range(32, head - 1, 32) if d[i] != 0x0D]
-        for k in range(min(n, len(rows))):
-            pos = head + k * width + 1
-            for name, kind, size, decimals in fields:
-                text = d[pos : pos + size].decode("utf-8", "replace").strip()
-                pos += size
-                rows[k][name] = (None if not text.strip("*") else float(text) if kind == "F" or decimals else int(text)) if kind in "NF" else text
-    prj = base.with_suffix(".prj")
-    return [{**r, "_rings": s} for r, s in zip(rows, shapes, strict=True)], prj.read_text() if prj.exists() else "EPSG:4326"
+    with open(path, "rb") as f:
+        if end < 0:
+            starts, at = [], 100
+            while at < os.path.getsize(path):
+                starts.append(at)
+                f.seek(at + 4)
+                at += 8 + 2 * struct.unpack(">i", f.read(4))[0]
+        else:
+            with open(base.with_suffix(".shx"), "rb") as index:
+                index.seek(100 + 8 * first)
+                starts = [2 * struct.unpack_from(">i", index.read(8))[0] for _ in range(first, end)]
+        fields, head, width, count = _dbf_head(base.with_suffix(".dbf"))
+        table = open(base.with_suffix(".dbf"), "rb") if fields else None
+        try:
+            for k, at in enumerate(starts, first):
+                f.seek(at + 4)
+                data = f.read(2 * struct.unpack(">i", f.read(4))[0])
+                rings: Rings = []
+                if struct.unpack_from("<i", data)[0] in (5, 15, 25):
+                    parts, points = struct.unpack_from("<2i", data, 36)
+                    cuts = [*struct.unpack_from(f"<{parts}i", data, 44), points]
+                    xy = np.frombuffer(data, "<f8", 2 * points, 44 + 4 * parts).reshape(-1, 2).tolist()
+                    rings = [[tuple(p) for p in xy[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+                row: dict = {}
+                if table and k < count:
+                    table.seek(head + k * width + 1)
+                    record, pos = table.read(width - 1), 0
+                    for name, kind, size, decimals in fields:
+                        text = record[pos : pos + size].decode("utf-8", "replace").strip()
+                        pos += size
+                        row[name] = (None if not text.strip("*") else float(text) if kind == "F" or decimals else int(text)) if kind in "NF" else text
+                yield k, row, rings
+        finally:
+            if table:
+                table.close()
+
+
+def _dbf_head(path: Path) -> tuple[list[tuple[str, str, int, int]], int, int, int]:
+    """Fields (name, kind, size, decimals), place of the first record, its width, number of records."""
+    if not path.exists():
+        return [], 0, 0, 0
+    with open(path, "rb") as f:
+        count, head, width = struct.unpack_from("<IHH", f.read(32), 4)
+        d = f.read(head - 32)
+    return [(d[i : i + 11].split(b"\0")[0].decode(), chr(d[i + 11]), d[i + 16], d[i + 17]) for i in range(0, len(d) - 31, 32) if d[i] != 0x0D], head, width, count
+
+
+_FORMATS = {".gpkg": (_geopackage_head, _geopackage), ".shp": (_shapefile_head, _shapefile)}
+_PARSED = "priority bigint, kinds map<string,string>, attributes map<string,string>, rings " + SCHEMA
+
+
+def _kind_of(value: object) -> str:
+    return "i" if isinstance(value, int) and not isinstance(value, bool) else "f" if isinstance(value, float) else "s"
 
 
 def _features(filename) -> tuple[DataFrame, str, dict[str, DataType]]:
@@ -135,23 +220,35 @@ def _features(filename) -> tuple[DataFrame, str, dict[str, DataType]]:
     path = str(filename)
     if not os.path.exists(path):
         raise FileNotFoundError(errno.ENOENT, os.strerror(errno.ENOENT), path)
-    ending = Path(path).suffix.lower()
-    rows, crs_name = (_geopackage if ending == ".gpkg" else _shapefile if ending == ".shp" else _geojson)(path)
-    names = list(dict.fromkeys(k for r in rows for k in r if k != "_rings"))
-    types, kinds = {}, {}
-    for n in names:
-        values = [r.get(n) for r in rows if r.get(n) is not None]
-        if values and all(isinstance(v, int) and not isinstance(v, bool) for v in values):
-            kinds[n], types[n] = DataType.Int64, "bigint"
-        elif values and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values):
-            kinds[n], types[n] = DataType.Float64, "double"
-        else:
-            types[n] = "string"
-    make = {"bigint": int, "double": float, "string": lambda v: v if isinstance(v, str) else json.dumps(v)}
-    shapes = [[[(float(x), float(y)) for x, y in ring] for ring in r["_rings"]] for r in rows]
-    data = [(i, *(None if r.get(n) is None else make[types[n]](r[n]) for n in names), shapes[i]) for i, r in enumerate(rows)]
-    schema = ", ".join(["`priority` bigint", *(f"`{n}` {types[n]}" for n in names), f"`rings` {SCHEMA}"])
-    return session().createDataFrame(data, schema), crs_name, kinds
+    head, read = _FORMATS.get(Path(path).suffix.lower(), (_geojson_head, _geojson))
+    parts, crs_name = head(path)
+    spark = session()
+    ranges = spark.createDataFrame(parts, "first bigint, stop bigint").repartition(len(parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, stop in zip(batch.column("first").to_pylist(), batch.column("stop").to_pylist(), strict=True):
+                every = read(path, first, stop)
+                while some := list(islice(every, 1000)):
+                    known = [{k: v for k, v in attributes.items() if v is not None} for _, attributes, _ in some]
+                    text = lambda v: v if isinstance(v, str) else json.dumps(v)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([n for n, _, _ in some], pa.int64()),
+                            pa.array([[(k, _kind_of(v)) for k, v in a.items()] for a in known], pa.map_(pa.string(), pa.string())),
+                            pa.array([[(k, text(v)) for k, v in a.items()] for a in known], pa.map_(pa.string(), pa.string())),
+                            pa.array([[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings] for *_, rings in some], pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))),
+                        ],
+                        ["priority", "kinds", "attributes", "rings"],
+                    )
+
+    parsed = ranges.mapInArrow(run, _PARSED)
+    each = parsed.select("priority", F.explode("kinds").alias("name", "kind"))
+    found = each.groupBy("name").agg(F.collect_set("kind").alias("kinds"), F.min("priority").alias("first")).orderBy("first", "name").collect()
+    types = {r["name"]: "bigint" if set(r["kinds"]) == {"i"} else "string" if "s" in r["kinds"] else "double" for r in found}
+    kinds = {n: DataType.Int64 if t == "bigint" else DataType.Float64 for n, t in types.items() if t != "string"}
+    values = [F.col("attributes")[n].cast(t).alias(n) for n, t in types.items()]
+    return parsed.select("priority", *values, "rings"), crs_name, kinds
 
 
 # ---------------------------------------------------------------------------------------------------------- layers
