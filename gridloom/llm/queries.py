@@ -48,7 +48,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.assess(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return found.select(*base, "nearest", "char_distance", "word_distance")
+    return found.select(*base, "nearest", *[F.round(c, 6).alias(c) for c in ("char_distance", "word_distance")])
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+_PATTERNS = {"vowel": "[aeiou]", "consonant": "[bcdfghjklmnpqrstvwxyz]", "capital": "[A-Z]", "digit": "[0-9]", "space": r"[\x20\x09-\x0D]", "stop": """[.,;:!?''"()-]""", "symbol": "[#*$%&|<>]", "beyond": r"[^\x00-\x7F]"}
+_CLASS = {name: f"(length(t) - length(regexp_replace(t, '{pattern}', '', 'g')))" for name, pattern in _PATTERNS.items()}
+_CLASS["other"] = f"(length(t) - {' - '.join(_CLASS.values())})"
+_KEYS = ", ".join(f"'{w}'" for w in quality._WORDS)
+_LANGUAGES = ", ".join(f"'{lang}'" for lang in sorted(quality.COMMON_WORDS))
 #: The shard of each slot as two hexadecimal digits.
 _TABLE = "".join(f"{i:02x}" for i in sharding.lookup_table(SHARDS).tolist())
 
@@ -165,6 +170,61 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(array_to_string(i.items, ','), '')) as items_sha256,
                coalesce(h.n, 0) > 0 as contaminated, coalesce(n.n, 0) as n_near
         from docs d left join hit_words h on d.doc = h.doc left join hit_items i on d.doc = i.doc left join near n on d.doc = n.doc""",
+    "op5_quality": rf"""
+        with docs as (
+            select row_number() over () as id, doc_id, lang, coalesce(text, '') as t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+            from documents),
+        lines as (
+            select id, line from (select id, unnest(string_split(t, chr(10))) as line from docs)
+            where regexp_matches(line, '[^\x20\x09-\x0D]')),
+        dups as (select id, count(*) - count(distinct line) as n from lines group by id),
+        windows as (
+            select id, i, [w[i], w[i + 1], w[i + 2]] as run
+            from (select id, w, unnest(range(1, len(w) - 1)) as i from docs where len(w) > 2)),
+        often as (select id, run from windows group by id, run having count(*) > 1),
+        repeats as (
+            select id, count(distinct pos) as n
+            from (select v.id, unnest([i, i + 1, i + 2]) as pos from windows v join often o on v.id = o.id and v.run = o.run)
+            group by id),
+        tokens as (
+            select id, regexp_extract_all(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?''"()]', '', 'g'), '[^\x20\x09-\x0D]+') as own
+            from docs),
+        counts as (select id, list_transform([{_KEYS}], lambda k: len(list_filter(own, lambda x: x = k))) as common from tokens),
+        measured as (
+            select d.id, doc_id, lang, len(w) as n_words, [{", ".join(_CLASS[c] for c in quality.CLASSES)}] as chars,
+                   list_append(common, len(w) - list_sum(common)) as common,
+                   length(t) - {_CLASS["space"]} as word_chars, {_CLASS["symbol"]} as n_symbols,
+                   coalesce(u.n, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words
+            from docs d join counts c on d.id = c.id left join dups u on d.id = u.id left join repeats r on d.id = r.id),
+        bins as (
+            select id, lang, n_words, 'c' as what, unnest(range(len(chars))) as bin, unnest(chars) as n, list_sum(chars) as total from measured
+            union all
+            select id, lang, n_words, 'w', unnest(range(len(common))), unnest(common), list_sum(common) from measured),
+        shares as (
+            select lang, what, bin, sum(cast(n * 1000000 // greatest(total, 1) as bigint)) as n
+            from bins where lang in ({_LANGUAGES}) and n_words >= 50 group by lang, what, bin),
+        known as (select lang, what, bin, n / sum(n) over (partition by lang, what) as b from shares),
+        pairs as (
+            select id, k.lang, x.what, total, case when total > 0 then x.n / total else 0 end as a, b
+            from bins x join known k on x.what = k.what and x.bin = k.bin),
+        distances as (
+            select id, lang, what, case when any_value(total) > 0 then sqrt(greatest(sum(
+                case when a > 0 then a * log2(a / ((a + b) / 2)) else 0 end + case when b > 0 then b * log2(b / ((a + b) / 2)) else 0 end) / 2, 0)) else 1.0 end as d
+            from pairs group by id, lang, what),
+        both_ as (
+            select c.id, c.lang, c.d as by_char, w.d as by_word, row_number() over (partition by c.id order by c.d + w.d, c.lang) as place
+            from distances c join distances w on c.id = w.id and c.lang = w.lang where c.what = 'c' and w.what = 'w'),
+        judged as (
+            select m.*, b.lang as nearest, coalesce(by_char, 1.0) as c, coalesce(by_word, 1.0) as w,
+                   n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed
+            from measured m left join both_ b on m.id = b.id and place = 1)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               not base_failed and (nearest is null or not (c > case when n_words < 100 then 0.28 else 0.24 end
+                   or w > case when n_words < 150 then 0.35 else 0.3 end)) as kept,
+               nearest, round(c, 6) as char_distance, round(w, 6) as word_distance
+        from judged""",
     "op8_line_dedup": """
         with lines as (
             select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,

@@ -159,8 +159,9 @@ def _midpoints(heavy: DataFrame, distance: int) -> DataFrame:
     return around(far).join(least, "mid").select(F.col("fp").alias("u"), "v").filter("u <> v").distinct()
 
 
-def links(distinct: DataFrame, distance: int = 4, segments: int | None = None, heavy: int = HEAVY) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 4, segments: int | None = None, heavy: int | None = None) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp) that leave the same components as all links."""
+    heavy = HEAVY if heavy is None else heavy
     if segments is None:
         segments = 3 if distinct.count() < TWO_SEGMENTS else 2
     entries = distinct.select("fp").mapInArrow(_entries(distance, segments), "key long, filed boolean, fp long")
