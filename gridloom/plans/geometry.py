@@ -117,7 +117,7 @@ class Window:
     def find_intersection(windows: list[Window]) -> Window:
         found = Window.shared(windows)
         if found is None:
-            raise ValueError("No intersection possible")
+            raise ValueError("the areas have nothing in common")
         return found
 
     find_intersection_no_throw = shared
@@ -214,7 +214,7 @@ class Area:
         elif b.projection is None and a.projection is not None:
             b = b.project_like(a)
         if a.projection != b.projection:
-            raise ValueError("Not all layers are at the same pixel scale")
+            raise ValueError("layers and areas must have one projection and pixel step")
         return a, b
 
     def _combined(self, other: Area, x0, y0, x1, y1) -> Area:
@@ -231,11 +231,11 @@ class Area:
         if a.projection is None:
             left, top, right, bottom = max(a.left, b.left), min(a.top, b.top), min(a.right, b.right), max(a.bottom, b.bottom)
             if left >= right or top <= bottom:
-                raise ValueError("No intersection possible")
+                raise ValueError("the areas have nothing in common")
             return Area(left, top, right, bottom)
         w = Window.shared([a.window, b.window])
         if w is None:
-            raise ValueError("No intersection possible")
+            raise ValueError("the areas have nothing in common")
         return a._combined(b, w.xoff, w.yoff, w.xend, w.yend)
 
     def __or__(self, other: Area) -> Area:

@@ -23,7 +23,9 @@ from gridloom.functions.dtypes import DataType
 from gridloom.functions.pointwise import OPERATORS, Footprint, Value
 from gridloom.plans.geometry import Area, MapProjection, Window
 
-MISMATCH = "Not all layers are at the same pixel scale"
+MISMATCH = "layers and areas must have one projection and pixel step"
+#: Pixels of the largest array that is gathered on the driver.
+MOST_PIXELS = 1 << 28
 
 
 def session() -> SparkSession:
@@ -246,9 +248,14 @@ class Layer:
         best = (F.min if which == "min" else F.max)(F.when(~F.isnan(v), v))
         return self.frame().agg(F.coalesce(best, F.lit(math.inf if which == "min" else -math.inf)).alias(which))
 
-    def unique(self, return_counts: bool = False):
-        """Sorted distinct values (NaN once, last), with ``return_counts`` also how often each occurs."""
-        rows = self.unique_frame().orderBy("v").toPandas()
+    def unique(self, return_counts: bool = False, most: int = 10_000_000):
+        """Sorted distinct values (NaN once, last), with ``return_counts`` also how often each occurs.
+
+        They come to the driver: ValueError if there are more than ``most``; ``unique_frame`` has no such bound.
+        """
+        rows = self.unique_frame().orderBy("v").limit(most + 1).toPandas()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} distinct values: use unique_frame")
         return (rows["v"].to_numpy(), rows["n"].to_numpy()) if return_counts else rows["v"].to_numpy()
 
     def unique_frame(self) -> DataFrame:
@@ -376,6 +383,8 @@ def _scalar(df: DataFrame, callback: Callable[[float], None] | None = None) -> f
 
 def densify(df: DataFrame, w: Window) -> np.ndarray:
     """The pixels of a window as an array; what has no row is 0."""
+    if w.xsize * w.ysize > MOST_PIXELS:
+        raise ValueError(f"more than {MOST_PIXELS} pixels don't go to the driver: use frame, or save the layer")
     rows = df.toPandas()
     kind = np.float64 if kind_of(df) == "f" else np.int64
     out = np.zeros((w.ysize, w.xsize), kind)
