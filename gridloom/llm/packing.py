@@ -239,7 +239,10 @@ def pack(
     ``keep_ids``, ids (array of int).
 
     docs needs doc_id, text and source; other columns are ignored.  A null or empty text is the end id alone; rows
-    that repeat a doc_id are packed as documents of their own; an empty table gives no pieces.  weights: whole-number
+    that repeat a doc_id are packed as documents of their own; a very long text is tokenised whole and cut into as many pieces
+    as it takes; queues that are due at the same time go in the order of their names; an empty table gives no pieces.  grain:
+    tokens of a grant, so a window holds the tokens of window / grain grants and is that close to the mixture; smaller grains
+    cut documents into more pieces.  weights: whole-number
     target weight of each source (missing: 0, served last); None: as the tokens of the corpus.
     """
     table = stored(tokenize(_queue_key(docs), tokenizer_path), "tokens")

@@ -151,7 +151,8 @@ def assess(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     Null and empty texts have no words and fail the base rules, as does a text with fewer than least_words words or
     with more than repeat_share of them in repeated windows of three.  nearest is null and the distances 1 where there
-    is no reference (empty corpus, no known language); then only the base rules count.  Rows are judged one by one, so
+    is no reference (empty corpus, no known language); then only the base rules count.  Of languages that are equally near the
+    first by name counts.  Very long texts are counted whole.  Rows are judged one by one, so
     repeats are fine; columns besides doc_id, text and lang are ignored.
     """
     measured = stored(_measured(docs), "measures")

@@ -63,7 +63,8 @@ def assign(rows: DataFrame, key: str, shards: Sequence[str], size: int = 65_537,
 
     A row's slot is the first 60 bits of the MD5 of its key's text modulo the table's size; the table (at most MAX_TABLE rows) is
     broadcast, so placement takes one look-up and no row moves.  Equal keys share a shard; a null key counts as the
-    empty text; repeated rows are kept; an empty table gives no rows.
+    empty text and a very long one is hashed whole; repeated rows are kept; an empty table gives no rows.  There are no ties: a
+    slot has one shard.
     """
     table = lookup_table(shards, size, turns)
     at, no = fresh(rows.columns, "at", "no")

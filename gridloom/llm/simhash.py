@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 4, seed:
 
     component_id is the smallest doc_id that links reach, itself included.  Exact copies meet in one fingerprint, so
     only distinct fingerprints are compared.  Texts without words (null, empty) have fingerprint 0 and are linked
-    like any other.  Rows that repeat a doc_id keep their own fingerprints, and a null doc_id is never the smallest
+    like any other; a bit that just half of the shingles have is 0; very long texts are counted whole.  Rows that repeat a
+    doc_id keep their own fingerprints, and a null doc_id is never the smallest
     unless a component has no other.  Other columns are ignored; an empty table gives no rows.
     """
     prints = stored(fingerprints(docs, shingle, seed), "fingerprints")
