@@ -6,11 +6,13 @@ one's docs.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontam, langid, linededup, packing, simhash
-from gridloom.llm.common import read, stored
+from gridloom.llm.common import read, settled
 from gridloom.llm.jaccard import text_hash
 from gridloom.llm.queries import tokenizer_path
 
@@ -37,8 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     exact Jaccard similarity.  Rows that repeat an id are told apart by their texts; of rows with one id and text the least
     stays.  The keepers grow with the corpus, so they are joined by a merge at every size; the texts move once.
     """
-    own = simhash.near_copies(docs, shingle=5, percent=80).filter("first")
-    keepers = stored(own.groupBy(F.col("doc_id").alias("_keeper"), F.col("th").alias("_th")).agg(F.count("*").alias("_rows")), "keepers")
+    own = lambda: simhash.near_copies(docs, shingle=5, percent=80).filter("first")
+    keepers = settled("keepers", lambda: own().groupBy(F.col("doc_id").alias("_keeper"), F.col("th").alias("_th")).agg(F.count("*").alias("_rows")))
     same = F.col("doc_id").eqNullSafe(F.col("_keeper")) & (text_hash() == F.col("_th"))
     kept = docs.join(keepers.hint("merge"), same, "left_semi").select(*COLUMNS)
     if keepers.filter("_rows > 1").isEmpty():
@@ -74,5 +76,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = read(spark, sf_dir, "documents", *COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = settled(name, partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

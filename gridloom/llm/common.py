@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage in a way that outlives lost executors, and later passes read only the columns
-    they need.  The table is removed by ``discard``, at the latest when the application ends.
+    they need.  The table is removed by ``discard`` or ``settled``, at the latest when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
@@ -51,15 +51,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
+    _live.append(path)
     return table
 
 
+#: Stored tables that haven't been removed, in the order in which they were made.
+_live: list[str] = []
+
+
+def _remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        if path in _live:
+            _live.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove stored tables that nothing reads any more: what was made of them has been stored in turn."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(table.sparkSession, [table._stored_at])
+
+
+def settled(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of ``make``; the tables that were stored to make it are removed, since nothing else reads them."""
+    before = set(_live)
+    out = stored(make(), name)
+    _remove(out.sparkSession, [p for p in _live if p not in before and p != out._stored_at])
+    return out
 
 
 #: Largest table that is broadcast, by its values' bytes.

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_lower, fresh, joinable, stored
+from gridloom.llm.common import ascii_lower, fresh, joinable, settled, stored
 
 #: What stands between words.  Splitting at it is several times faster than extracting the words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -117,6 +117,27 @@ def _hashes(phrase: Column) -> tuple[Column, Column]:
     return F.xxhash64(phrase), F.xxhash64(F.lit("phrase"), phrase)
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, n: int, slop: int | None, overlap: float) -> DataFrame:
+    """(doc, th, hits, items and, with slop, near) of the documents that have any; null where there are none of a kind."""
+    table = stored(phrases(benchmark, n).withColumn("pid", F.monotonically_increasing_id()), "phrases")
+    terms = table.select("pid", "size", F.posexplode(F.split("phrase", " ")).alias("off", "word")).select("pid", "size", "off", "word", F.xxhash64("word").alias("term"))
+    vocabulary = joinable(terms.select("term").distinct(), BROADCAST_ROWS)
+    counts = stored(_tokens(docs).select("term").join(vocabulary, "term").groupBy("term").count(), "term-counts")
+
+    exact = _exact(docs, table, terms, counts)
+    single = exact.select("doc", "th", F.explode("hits").alias("hit")).select("doc", "th", F.col("hit")["phrase_id"].alias("pid"), F.col("hit")["start"].alias("start"))
+    named = single.select("doc", "th", "pid").distinct().join(joinable(table.select("pid", "items"), BROADCAST_ROWS), "pid")
+    items = named.select("doc", "th", F.explode("items").alias("item")).groupBy("doc", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    every = exact.unionByName(items, allowMissingColumns=True)
+    if slop is not None:
+        places = _near(docs, table, terms, counts, n, slop, overlap).distinct()
+        same = [places["doc"].eqNullSafe(single["doc"]), *[places[c] == single[c] for c in ("th", "pid", "start")]]
+        places = places.join(single, same, "left_anti").join(joinable(table.select("pid", "size"), BROADCAST_ROWS), "pid")
+        near = places.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("start", "size", F.col("pid").alias("phrase_id")))).alias("near"))
+        every = every.unionByName(near, allowMissingColumns=True)
+    return every.groupBy("doc", "th").agg(*[F.first(c, ignorenulls=True).alias(c) for c in every.columns if c not in ("doc", "th")])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int | None = None, overlap: float = 0.8) -> DataFrame:
     """``docs`` with n_words, hits, items and near (columns of these names are replaced).
 
@@ -133,29 +154,9 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int | None =
     other columns pass through.
     """
     rest = [c for c in docs.columns if c.lower() not in ("n_words", "hits", "items", "near")]
-    table = stored(phrases(benchmark, n).withColumn("pid", F.monotonically_increasing_id()), "phrases")
-    terms = table.select("pid", "size", F.posexplode(F.split("phrase", " ")).alias("off", "word")).select("pid", "size", "off", "word", F.xxhash64("word").alias("term"))
-    vocabulary = joinable(terms.select("term").distinct(), BROADCAST_ROWS)
-    counts = stored(_tokens(docs).select("term").join(vocabulary, "term").groupBy("term").count(), "term-counts")
-
-    exact = _exact(docs, table, terms, counts)
-    single = exact.select("doc", "th", F.explode("hits").alias("hit")).select("doc", "th", F.col("hit")["phrase_id"].alias("pid"), F.col("hit")["start"].alias("start"))
-    named = single.select("doc", "th", "pid").distinct().join(joinable(table.select("pid", "items"), BROADCAST_ROWS), "pid")
-    items = named.select("doc", "th", F.explode("items").alias("item")).groupBy("doc", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    parts = [exact, items]
-    if slop is not None:
-        places = _near(docs, table, terms, counts, n, slop, overlap).distinct()
-        same = [places["doc"].eqNullSafe(single["doc"]), *[places[c] == single[c] for c in ("th", "pid", "start")]]
-        places = places.join(single, same, "left_anti").join(joinable(table.select("pid", "size"), BROADCAST_ROWS), "pid")
-        parts.append(places.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("start", "size", F.col("pid").alias("phrase_id")))).alias("near")))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part, allowMissingColumns=True)
-    names = [c for c in ("hits", "items", "near") if c in every.columns]
-    found = every.groupBy("doc", "th").agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
-
+    names = ("hits", "items") if slop is None else ("hits", "items", "near")
     own = dict(zip(("doc", "th", "hash", "words", *names), fresh(docs.columns, "doc", "th", "hash", "words", *names), strict=True))
-    found = stored(found.select(*[F.col(c).alias(own[c]) for c in ("doc", "th", *names)]), "found")
+    found = settled("found", lambda: _found(docs, benchmark, n, slop, overlap).select(*[F.col(c).alias(own[c]) for c in ("doc", "th", *names)]))
     whole = docs.select(*rest, _text_hash().alias(own["hash"]), F.size(words_of(F.col("text"))).cast("long").alias(own["words"]))
     met = whole.join(joinable(found, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col(own["doc"])) & (F.col(own["hash"]) == F.col(own["th"])), "left")
     none = {"hits": PLACES, "items": "array<string>", "near": PLACES}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import joinable, stored
+from gridloom.llm.common import joinable, settled, stored
 from gridloom.llm.components import components
 from gridloom.llm.shingles import lower_words, majority, remixed, shingle_hashes
 
@@ -205,16 +205,6 @@ def _buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tu
 
 def _verified(pairs: DataFrame, sets: DataFrame, known: DataFrame, docs: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
     """Those of the pairs (u, v) of sets that aren't in one component of ``known`` and whose similarity is percent / 100 or more."""
-    own = sets.join(known, sets.sh == known.node, "left").select("sh", "size", "th", F.coalesce("root", "sh").alias("root"), *[f"w{i}" for i in range(WIDE)])
-    left, right = (own.select(*[F.col(c).alias(f"{side}_{c}") for c in own.columns]) for side in "uv")
-    ordered = pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    met = ordered.join(left, F.col("u") == F.col("u_sh")).join(right, F.col("v") == F.col("v_sh"))
-    apart = sum((F.bit_count(F.col(f"u_w{i}").bitwiseXOR(F.col(f"v_w{i}"))) for i in range(WIDE)), F.lit(0))
-    near = met.filter((F.col("u_root") != F.col("v_root")) & ((F.least("u_size", "v_size") < WIDE_SETS) | (apart <= most_apart(percent))))
-    pairs = stored(near.select("u", "v", F.col("u_th").alias("ut"), F.col("v_th").alias("vt")), "pairs")
-    wanted = stored(pairs.select(F.explode(F.array("ut", "vt")).alias("th")).distinct(), "pair-texts")
-    texts = docs.select("text", text_hash().alias("th")).join(joinable(wanted, BROADCAST_ROWS), "th").groupBy("th").agg(F.first("text").alias("text"))
-    texts = stored(texts, "pair-docs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,8 +224,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, known: DataFrame, docs: DataFra
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("th").alias("ut"), F.col("text").alias("a")), "ut").join(texts.select(F.col("th").alias("vt"), F.col("text").alias("b")), "vt")
-    return stored(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar")
+    def found() -> DataFrame:
+        own = sets.join(known, sets.sh == known.node, "left").select("sh", "size", "th", F.coalesce("root", "sh").alias("root"), *[f"w{i}" for i in range(WIDE)])
+        left, right = (own.select(*[F.col(c).alias(f"{side}_{c}") for c in own.columns]) for side in "uv")
+        ordered = pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        met = ordered.join(left, F.col("u") == F.col("u_sh")).join(right, F.col("v") == F.col("v_sh"))
+        apart = sum((F.bit_count(F.col(f"u_w{i}").bitwiseXOR(F.col(f"v_w{i}"))) for i in range(WIDE)), F.lit(0))
+        near = met.filter((F.col("u_root") != F.col("v_root")) & ((F.least("u_size", "v_size") < WIDE_SETS) | (apart <= most_apart(percent))))
+        close = stored(near.select("u", "v", F.col("u_th").alias("ut"), F.col("v_th").alias("vt")), "pairs")
+        wanted = stored(close.select(F.explode(F.array("ut", "vt")).alias("th")).distinct(), "pair-texts")
+        texts = docs.select("text", text_hash().alias("th")).join(joinable(wanted, BROADCAST_ROWS), "th").groupBy("th").agg(F.first("text").alias("text"))
+        texts = stored(texts, "pair-docs")
+        both = close.join(texts.select(F.col("th").alias("ut"), F.col("text").alias("a")), "ut").join(texts.select(F.col("th").alias("vt"), F.col("text").alias("b")), "vt")
+        return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+    return settled("similar", found)
 
 
 def links(docs: DataFrame, signs: DataFrame, sets: DataFrame, known: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import discard, stored
 
 UNDETERMINED = "und"
 
@@ -190,7 +190,9 @@ def train(labelled: DataFrame, order: int = 3, max_docs_per_language: int = 2000
                     size = 0
         yield from counted()
 
-    counts = stored(sample.mapInArrow(count, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")), "grams").toPandas()
+    table = stored(sample.mapInArrow(count, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")), "grams")
+    counts = table.toPandas()
+    discard(table)
     return Model.of_counts(languages, order, counts["gram"].to_numpy(np.int64), counts["language"].to_numpy(np.int64), counts["n"].to_numpy(np.float64))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_lower, fresh, stored
+from gridloom.llm.common import ascii_lower, fresh, settled, stored
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -27,21 +27,25 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     line = F.trim(F.col("line"), F.lit(SPACE))
-    exploded = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    long_lines = exploded.select("doc_id", "th", "pos", line.alias("line")).filter(F.length("line") >= min_chars)
-    key = ascii_lower("line")
-    keyed = stored(long_lines.select("doc_id", "th", "pos", F.xxhash64(key).alias("k1"), F.xxhash64(F.lit("line"), key).alias("k2")), "lines")
-
-    holders = keyed.groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one"))
-    counted = holders.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-    frequent = stored(counted.filter(F.col("n") >= min_docs).drop("n"), "frequent-lines")
     doc, th, gone, own = fresh(docs.columns, "doc", "th", "gone", "lines")
-    dropped = (
-        keyed.join(frequent, ["k1", "k2"])
-        .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias(doc), F.col("th").alias(th))
-        .agg(F.collect_set("pos").alias(gone))
-    )
+
+    def found() -> DataFrame:
+        exploded = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+        long_lines = exploded.select("doc_id", "th", "pos", line.alias("line")).filter(F.length("line") >= min_chars)
+        key = ascii_lower("line")
+        keyed = stored(long_lines.select("doc_id", "th", "pos", F.xxhash64(key).alias("k1"), F.xxhash64(F.lit("line"), key).alias("k2")), "lines")
+
+        holders = keyed.groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one"))
+        counted = holders.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+        frequent = stored(counted.filter(F.col("n") >= min_docs).drop("n"), "frequent-lines")
+        return (
+            keyed.join(frequent, ["k1", "k2"])
+            .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+            .groupBy(F.col("doc_id").alias(doc), F.col("th").alias(th))
+            .agg(F.collect_set("pos").alias(gone))
+        )
+
+    dropped = settled("dropped-lines", found)
     rows = docs.drop("n_lines", "n_dropped", "text").columns
     whole = docs.select(*rows, text.alias("text"))
     met = whole.join(dropped, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import jaccard
-from gridloom.llm.common import stored
+from gridloom.llm.common import settled, stored
 from gridloom.llm.components import components
 from gridloom.llm.shingles import lower_words, majority, shingle_hashes
 
@@ -183,9 +183,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 4, seed:
     unless a component has no other.  Other columns are ignored; an empty table gives no rows.
     """
     prints = stored(fingerprints(docs, shingle, seed), "fingerprints")
-    firsts = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    roots = components(links(firsts, distance))
-    of = stored(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "roots")
+
+    def rooted() -> DataFrame:
+        firsts = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+        roots = components(links(firsts, distance))
+        return firsts.join(roots, firsts.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+
+    of = settled("roots", rooted)
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -203,18 +207,22 @@ def near_copies(docs: DataFrame, shingle: int = 5, distance: int = 4, percent: i
     signs = stored(jaccard.signs(docs, shingle, seed, percent), "signs")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     others = ["size", *[f"w{i}" for i in range(jaccard.WIDE)]]
-    sets = stored(signs.groupBy("sh").agg(F.min(row).alias("row"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in others]), "sets")
-
-    prints = stored(signs.groupBy("fp", "sh").agg(F.lit(1).alias("one")).select("fp", "sh"), "fingerprints")
-    roots = components(links(prints.select("fp").distinct(), distance))
-    of = stored(prints.join(roots, prints.fp == roots.node, "left").select("sh", F.coalesce("root", "fp").alias("root")), "roots")
-    least = of.groupBy("root").agg(F.min("sh").alias("v"))
-    tree = stored(of.join(least, "root").select(F.col("sh").alias("u"), "v").filter("u <> v").distinct(), "tree")
-    known = stored(components(tree), "known")
-
-    every = tree.union(jaccard.links(docs, signs, sets, known, shingle, seed, percent))
-    roots = components(every)
-    of = stored(sets.join(roots, sets.sh == roots.node, "left").select("sh", F.coalesce("root", "sh").alias("root"), "row"), "roots")
+
+    def trees() -> DataFrame:
+        prints = stored(signs.groupBy("fp", "sh").agg(F.lit(1).alias("one")).select("fp", "sh"), "fingerprints")
+        roots = components(links(prints.select("fp").distinct(), distance))
+        of = stored(prints.join(roots, prints.fp == roots.node, "left").select("sh", F.coalesce("root", "fp").alias("root")), "roots")
+        least = of.groupBy("root").agg(F.min("sh").alias("v"))
+        return of.join(least, "root").select(F.col("sh").alias("u"), "v").filter("u <> v").distinct()
+
+    def rooted() -> DataFrame:
+        sets = stored(signs.groupBy("sh").agg(F.min(row).alias("row"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in others]), "sets")
+        tree = settled("tree", trees)
+        known = settled("known", lambda: components(tree))
+        roots = components(tree.union(jaccard.links(docs, signs, sets, known, shingle, seed, percent)))
+        return sets.join(roots, sets.sh == roots.node, "left").select("sh", F.coalesce("root", "sh").alias("root"), "row")
+
+    of = settled("roots", rooted)
     firsts = of.groupBy("root").agg(F.min("row").alias("least"))
     met = signs.select("doc_id", "th", "fp", "sh").join(of.join(firsts, "root").select("sh", "least"), "sh")
     first = F.col("doc_id").eqNullSafe(F.col("least")["doc_id"]) & (F.col("th") == F.col("least")["th"])
