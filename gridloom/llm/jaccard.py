@@ -1,19 +1,20 @@
 """Links between texts of a given Jaccard similarity of word shingles, by prefix filtering; it completes SimHash.
 
 Under any fixed order of shingles, two sets of similarity t or more share one of the first ``n - ceil(t * n) + 1`` of each.
-So sets meet under their first shingles only, and no pair is missed.  The order is that of the hashes, but shingles
+So sets meet under their first shingles only, and no pair is missed; and if they first meet late in either, the rest can't
+hold enough for t.  The order is that of the hashes, but shingles
 that several sets have come last: which these are is estimated from a part of the texts, and as any order is right, that
 changes how many sets meet, but no result.  Where many sets still meet, they are near copies for the most part: each is held
 against one of the others first, and then only those that are not in one component yet are held against each other.
 
-Pairs that meet are held against each other by their complete fingerprints first: 256 bits, of which sets of similarity t
-differ in few.  What is left is verified on the texts.
+Pairs that meet are held against each other by their parities first: for each of 1024 places whether an odd number of a
+set's shingles fall on it.  Two sets differ in at least as many shingles as places, so this leaves out no similar pair,
+and where few differ it is nearly as sharp as the texts themselves.  What is left is verified on the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import joinable, settled, stored
 from gridloom.llm.components import components
-from gridloom.llm.shingles import lower_words, majority, remixed, shingle_hashes
+from gridloom.llm.shingles import lower_words, majority, shingle_hashes
 
 #: Shingles that OFTEN or more of the sets of one text in SAMPLE have come last in the order; they are marked in a bitmap of
 #: 2 ** MARKS bits by their hash, whatever their number.
@@ -30,9 +31,8 @@ OFTEN, SAMPLE, MARKS = 2, 8, 24
 #: In buckets up to this size all pairs are held against each other at once.
 SMALL = 64
 BROADCAST_ROWS = 200_000
-#: 64-bit parts of the fingerprints that pairs are held against each other by; sets of fewer than WIDE_SETS shingles aren't.
-WIDE = 4
-WIDE_SETS = 32
+#: 64-bit words of the parities that pairs are held against each other by.
+WIDE = 16
 
 SIGNS = "doc_id long, th long, fp long, sh long, size int, prefix array<long>, " + ", ".join(f"w{i} long" for i in range(WIDE))
 
@@ -46,11 +46,16 @@ def _least(n, percent: int):
     return -(-n * percent // 100)
 
 
-def most_apart(percent: int) -> int:
-    """Bits that complete fingerprints of sets of this similarity don't differ in more than: 8 standard deviations over the mean."""
-    j = percent / 100
-    p, n = acos(2 * j / (1 + j)) / pi, 64 * WIDE
-    return int(n * p + 8 * sqrt(n * p * (1 - p)))
+def _shared(sizes, percent: int):
+    """How many shingles sets of so many together have to share."""
+    return -(-sizes * percent // (100 + percent))
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """WIDE words of the parity of how many shingles fall on each place."""
+    places = (own ^ (own >> np.uint64(32))) & np.uint64(64 * WIDE - 1)
+    odd = np.bincount(places.astype(np.int64), minlength=64 * WIDE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
 def _prefix(own: np.ndarray, percent: int, late: np.ndarray) -> np.ndarray:
@@ -86,7 +91,7 @@ def _late(docs: DataFrame, shingle: int, seed: int, percent: int) -> np.ndarray:
 
 def signs(docs: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
     """SIGNS of every row: hash of the text, SimHash fingerprint, hash of the set of its shingles, the set's size, first
-    shingles (null where the task has given those of the same set before) and complete fingerprint."""
+    shingles (null where the task has given those of the same set before) and parities."""
     late = docs.sparkSession.sparkContext.broadcast(_late(docs, shingle, seed, percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +106,7 @@ def signs(docs: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
                 fps.append(majority(every))
                 sets.append(xxhash.xxh64_intdigest(own.tobytes(), 1))
                 sizes.append(len(own))
-                wide.append([majority(remixed(own, i)) for i in range(WIDE)])
+                wide.append(parities(own))
                 if sets[-1] in given:
                     prefixes.append(None)
                     continue
@@ -113,7 +118,7 @@ def signs(docs: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
             ends = np.cumsum([0, *(0 if p is None else len(p) for p in prefixes)], dtype=np.int32)
             values = np.concatenate([np.zeros(0, np.int64), *(p for p in prefixes if p is not None)])
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([p is None for p in prefixes], pa.bool_()))
-            parts = np.array(wide, np.uint64).reshape(-1, WIDE)
+            parts = np.concatenate([np.zeros(0, np.uint64), *wide]).reshape(-1, WIDE)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), batch.column("th"), signed(fps), signed(sets), pa.array(sizes, pa.int32()), prefix, *(signed(parts[:, i]) for i in range(WIDE))],
                 ["doc_id", "th", "fp", "sh", "size", "prefix", *(f"w{i}" for i in range(WIDE))],
@@ -123,51 +128,58 @@ def signs(docs: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
 
 
 def _meet(percent: int):
-    """Arrow function over entries (key, size, sh) sorted by these: pairs (u, v) that may be similar by their sizes.
+    """Arrow function over entries (key, size, sh, at) sorted by these: pairs (u, v) that may be similar by ``_fit``.
 
     All pairs of small buckets; of the others each set v with the middle one u, with the key as ``open``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, sh, *_ in _buckets(batches, ["key", "size", "sh"]):
+        for key, size, sh, place in _buckets(batches, ["key", "size", "sh", "at"]):
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
             short = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
-            k, n, s = key[short], size[short], sh[short]
+            k, n, s, p = key[short], size[short], sh[short], place[short]
             for d in range(1, SMALL):
                 same = k[d:] == k[:-d]
                 if not same.any():
                     break
-                fit = same & (n[:-d] >= _least(n[d:], percent))
+                fit = same & _fit(n[:-d], p[:-d], n[d:], p[d:], percent)
                 if fit.any():
                     yield _pairs(s[:-d][fit], s[d:][fit], None)
             for a, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                yield _pairs(np.full(m, sh[a + m // 2]), sh[a : a + m], key[a])
+                h = a + m // 2
+                fit = _fit(size[a : a + m], place[a : a + m], size[h], place[h], percent)
+                yield _pairs(np.full(int(fit.sum()), sh[h]), sh[a : a + m][fit], key[a])
+                yield _pairs(sh[h : h + 1], sh[h : h + 1], key[a])
 
     return run
 
 
+def _fit(n, i, m, j, percent: int):
+    """Whether sets of n and m shingles that meet under the i-th of one and the j-th of the other, and under none before, may be
+    similar: the rest must hold what they have to share.  If they meet before, they are found there."""
+    return (np.minimum(n - i, m - j) >= _shared(n + m, percent)) & (np.minimum(n, m) >= _least(np.maximum(n, m), percent))
+
+
 def _cross(percent: int):
-    """Arrow function over entries (key, size, sh, root, w0 ...) of the larger buckets: the pairs (u, v) of different components
-    whose sizes and complete fingerprints are near enough.
+    """Arrow function over entries (key, size, sh, at, root, w0 ...) of the larger buckets: the pairs (u, v) of different
+    components that may be similar by ``_fit`` and by their parities.
 
     One of a pair is outside the bucket's largest component, so only those sets look for others.
     """
-    names = ["key", "size", "sh", "root", *(f"w{i}" for i in range(WIDE))]
-    most = most_apart(percent)
+    names = ["key", "size", "sh", "at", "root", *(f"w{i}" for i in range(WIDE))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, sh, root, *wide in _buckets(batches, names):
+        for key, size, sh, place, root, *wide in _buckets(batches, names):
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for a, m in zip(starts.tolist(), np.diff(np.r_[starts, len(key)]).tolist(), strict=True):
-                n, s, r, w = size[a : a + m], sh[a : a + m], root[a : a + m], [x[a : a + m] for x in wide]
+                n, s, p, r, w = size[a : a + m], sh[a : a + m], place[a : a + m], root[a : a + m], [x[a : a + m] for x in wide]
                 roots, counts = np.unique(r, return_counts=True)
                 out = r != roots[counts.argmax()]
                 for i in np.flatnonzero(out).tolist():
-                    other = (r != r[i]) & (~out | (np.arange(m) > i)) & (np.minimum(n, n[i]) >= _least(np.maximum(n, n[i]), percent))
-                    near = np.flatnonzero(other)
-                    apart = sum(np.bitwise_count(x[near] ^ x[i]).astype(np.int64) for x in w)
-                    near = near[(apart <= most) | (np.minimum(n[near], n[i]) < WIDE_SETS)]
+                    near = np.flatnonzero((r != r[i]) & (~out | (np.arange(m) > i)) & _fit(n, p, n[i], p[i], percent))
+                    apart = sum(np.bitwise_count((x[near] ^ x[i]).view(np.uint64)).astype(np.int64) for x in w)  # of signed numbers it counts otherwise
+                    near = near[apart <= n[near] + n[i] - 2 * _shared(n[near] + n[i], percent)]
                     if len(near):
                         yield _pairs(np.full(len(near), s[i]), s[near], None)
 
@@ -230,13 +242,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, known: DataFrame, docs: DataFra
         ordered = pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         met = ordered.join(left, F.col("u") == F.col("u_sh")).join(right, F.col("v") == F.col("v_sh"))
         apart = sum((F.bit_count(F.col(f"u_w{i}").bitwiseXOR(F.col(f"v_w{i}"))) for i in range(WIDE)), F.lit(0))
-        near = met.filter((F.col("u_root") != F.col("v_root")) & ((F.least("u_size", "v_size") < WIDE_SETS) | (apart <= most_apart(percent))))
+        both = F.col("u_size") + F.col("v_size")
+        near = met.filter((F.col("u_root") != F.col("v_root")) & (apart <= both - 2 * F.ceil(both * percent / (100 + percent) - 1e-9)))
         close = stored(near.select("u", "v", F.col("u_th").alias("ut"), F.col("v_th").alias("vt")), "pairs")
         wanted = stored(close.select(F.explode(F.array("ut", "vt")).alias("th")).distinct(), "pair-texts")
         texts = docs.select("text", text_hash().alias("th")).join(joinable(wanted, BROADCAST_ROWS), "th").groupBy("th").agg(F.first("text").alias("text"))
         texts = stored(texts, "pair-docs")
-        both = close.join(texts.select(F.col("th").alias("ut"), F.col("text").alias("a")), "ut").join(texts.select(F.col("th").alias("vt"), F.col("text").alias("b")), "vt")
-        return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+        whole = close.join(texts.select(F.col("th").alias("ut"), F.col("text").alias("a")), "ut").join(texts.select(F.col("th").alias("vt"), F.col("text").alias("b")), "vt")
+        return whole.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
     return settled("similar", found)
 
@@ -249,8 +262,8 @@ def links(docs: DataFrame, signs: DataFrame, sets: DataFrame, known: DataFrame,
     components that are known already: their members aren't held against each other.
     """
     order = ["key", "size", "sh"]
-    flat = signs.select(F.explode("prefix").alias("key"), "size", "sh", *[f"w{i}" for i in range(WIDE)])
-    met = flat.select(*order).repartition("key").sortWithinPartitions(*order).mapInArrow(_meet(percent), "u long, v long, open long")
+    flat = signs.select(F.posexplode("prefix").alias("at", "key"), "size", "sh", *[f"w{i}" for i in range(WIDE)])
+    met = flat.select(*order, "at").repartition("key").sortWithinPartitions(*order).mapInArrow(_meet(percent), "u long, v long, open long")
     met = stored(met, "met")
     one = met.filter("open is not null").groupBy("v").agg(F.min("u").alias("u")).select("u", "v")  # of large buckets, one for each
     found = _verified(met.filter("open is null").select("u", "v").union(one), sets, known, docs, shingle, seed, percent)

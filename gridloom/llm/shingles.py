@@ -35,11 +35,3 @@ def majority(hashes: np.ndarray) -> int:
     octets[:n] = hashes.astype("<u8").view(np.uint8).reshape(n, 8)
     counts = np.concatenate([_SPREAD[octets[:, j]].reshape(-1, 255).sum(axis=1).astype("<u8").view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64) for j in range(8)])
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
-
-
-def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
-    """Other hashes of the same shingles, for each turn as good as independent."""
-    x = hashes ^ np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
