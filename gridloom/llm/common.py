@@ -116,6 +116,11 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, also where ``then`` uses it in lambda functions."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def ascii_lower(col: Column | str) -> Column:
     """Lower-case A-Z only.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_lower, fresh, joinable, settled, stored
+from gridloom.llm.common import ascii_lower, fresh, joinable, let, settled, stored
 
 #: What stands between words.  Splitting at it is several times faster than extracting the words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,8 +61,8 @@ def _near(docs: DataFrame, table: DataFrame, terms: DataFrame, counts: DataFrame
     anchors = stored(anchors.filter("count > 0").select("term", "pid", "off", "size", "own", _least(F.size("own"), overlap).alias("least")), "near-anchors")
 
     reach = n + 2 * slop
-    words = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).filter(F.size("w") > 0)
-    cut = words.select("doc", "th", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(PIECE))).alias("from"))
+    words = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    cut = words.select("doc", "th", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(PIECE))).alias("from"))
     pieces = cut.select("doc", "th", "from", F.slice("w", F.col("from") + 1, PIECE).alias("part"), F.greatest(F.col("from") - reach, F.lit(0)).alias("base"), F.slice("w", F.greatest(F.col("from") - reach, F.lit(0)) + 1, PIECE + 2 * reach).alias("around"))
     at = pieces.select("doc", "th", "from", "base", "around", F.posexplode("part").alias("pos", "term"))
     met = at.join(joinable(anchors, BROADCAST_ROWS // 10), "term").withColumn("start", F.col("from") + F.col("pos") - F.col("off"))
@@ -103,14 +103,16 @@ def _exact(docs: DataFrame, table: DataFrame, terms: DataFrame, counts: DataFram
 
     texts = docs.select(F.col("doc_id").alias("id"), "text", _text_hash().alias("own"))
     met = texts.join(joinable(of_doc, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("th")))
-    words = met.select("doc", "th", "places", words_of(F.col("text")).alias("words"))
 
-    def same(p: Column) -> Column:
-        h0, h1 = _hashes(F.array_join(F.slice("words", p["start"] + 1, p["size"]), " "))
-        return (h0 == p["h0"]) & (h1 == p["h1"])
+    def verified(words: Column) -> Column:
+        def same(p: Column) -> Column:
+            h0, h1 = _hashes(F.array_join(F.slice(words, p["start"] + 1, p["size"]), " "))
+            return (h0 == p["h0"]) & (h1 == p["h1"])
 
-    hits = F.transform(F.filter("places", same), lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size"), p["pid"].alias("phrase_id")))
-    return stored(words.select("doc", "th", hits.alias("hits")).filter(F.size("hits") > 0).dropDuplicates(["doc", "th"]), "hits")
+        return F.transform(F.filter("places", same), lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size"), p["pid"].alias("phrase_id")))
+
+    hits = let(words_of(F.col("text")), verified)
+    return stored(met.select("doc", "th", hits.alias("hits")).filter(F.size("hits") > 0).dropDuplicates(["doc", "th"]), "hits")
 
 
 def _hashes(phrase: Column) -> tuple[Column, Column]:

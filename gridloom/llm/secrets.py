@@ -10,13 +10,13 @@ Everything is one projection over the documents: no shuffle, no Python.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh
+from gridloom.llm.common import fresh, let
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA)([A-Z0-9]{16,})"  # runs are maximal, so a shorter one can't hold a longer match
@@ -55,11 +55,6 @@ _FIRST, _SYMBOLS = ord("+"), ord("z") - ord("+") + 1
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _spans(text: Column, pattern: str, kind: int, least: int) -> Column:
     """Spans of all leftmost matches whose group 2 has at least ``least`` characters."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -76,14 +71,14 @@ def _spans(text: Column, pattern: str, kind: int, least: int) -> Column:
 
     def in_chunks(parts: Column) -> Column:
         sizes = F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(CHUNK)), lambda i: F.aggregate(F.slice(parts, i + 1, CHUNK), F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
-        return _let(sizes, lambda own: F.flatten(F.transform(own, lambda _, i: walk(F.slice(parts, i * CHUNK + 1, CHUNK), F.aggregate(F.slice(own, 1, i), F.lit(0), lambda n, x: n + x)))))
+        return let(sizes, lambda own: F.flatten(F.transform(own, lambda _, i: walk(F.slice(parts, i * CHUNK + 1, CHUNK), F.aggregate(F.slice(own, 1, i), F.lit(0), lambda n, x: n + x)))))
 
     def matched(found: Column) -> Column:
         zipped = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value"))
         parts = F.transform(zipped, lambda x: F.struct(F.length(x["piece"]).alias("gap"), F.coalesce(F.length(x["match"]), F.lit(0)).alias("size"), (F.coalesce(F.length(x["value"]), F.lit(0)) >= least).alias("good")))
-        return _let(parts, lambda p: F.when(F.size(p) <= CHUNK, walk(p, F.lit(0))).otherwise(in_chunks(p)))
+        return let(parts, lambda p: F.when(F.size(p) <= CHUNK, walk(p, F.lit(0))).otherwise(in_chunks(p)))
 
-    return _let(whole, lambda found: F.when(F.size(found) > 0, matched(found)).otherwise(none))
+    return let(whole, lambda found: F.when(F.size(found) > 0, matched(found)).otherwise(none))
 
 
 def _xlog(c: int) -> float:
@@ -128,7 +123,7 @@ def _windows(candidate: Column, window: int, bits: float) -> Column:
         steps = F.transform(codes, lambda c, i: F.struct(c.alias("code"), F.when(i >= window, F.get(codes, i - window)).alias("out"), i.alias("i")))
         return F.aggregate(steps, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
-    return _let(codes, run)
+    return let(codes, run)
 
 
 def _entropy_spans(text: Column, kind: CharClass, window: int, allow: Sequence[str]) -> Column:
@@ -144,10 +139,10 @@ def _entropy_spans(text: Column, kind: CharClass, window: int, allow: Sequence[s
                 allowed = allowed | candidate.rlike(pattern)
             return F.when(candidate.rlike(kind.must) & ~allowed, _windows(candidate, window, kind.bits))
 
-        found = _let(candidate, of)
-        return _let(found, lambda f: F.when(f["first"] > 0, F.struct((span["start"] + f["first"] - window).alias("start"), span["kind"].alias("kind"), (span["start"] + f["last"]).alias("end"))))
+        found = let(candidate, of)
+        return let(found, lambda f: F.when(f["first"] > 0, F.struct((span["start"] + f["first"] - window).alias("start"), span["kind"].alias("kind"), (span["start"] + f["last"]).alias("end"))))
 
-    return _let(runs, lambda r: F.filter(F.transform(r, judged), lambda s: s.isNotNull()))
+    return let(runs, lambda r: F.filter(F.transform(r, judged), lambda s: s.isNotNull()))
 
 
 def scan(docs: DataFrame, classes: Sequence[CharClass] = CLASSES, window: int = WINDOW, allow: Sequence[str] = ALLOW) -> DataFrame:
@@ -174,7 +169,7 @@ def scan(docs: DataFrame, classes: Sequence[CharClass] = CLASSES, window: int =
     out = known.select("*", base.alias("base_spans"))
     out = out.withColumn("spans", F.col("base_spans"))
     for kind in classes:
-        found = _let(_entropy_spans(text, kind, window, allow), lambda new: F.when(F.size(new) > 0, F.array_sort(F.concat("spans", _apart(new, F.col("spans"))))).otherwise(F.col("spans")))
+        found = let(_entropy_spans(text, kind, window, allow), lambda new: F.when(F.size(new) > 0, F.array_sort(F.concat("spans", _apart(new, F.col("spans"))))).otherwise(F.col("spans")))
         out = out.withColumn("spans", F.when(F.col(likely), found).otherwise(F.col("spans")))
     return out.select(*rest, "base_spans", "spans")
 
