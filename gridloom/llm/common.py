@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -51,20 +52,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
-    _live.append(path)
+    _live.paths[path] = None
     return table
 
 
-#: Stored tables that haven't been removed, in the order in which they were made.
-_live: list[str] = []
+class _Live(threading.local):
+    """Stored tables of this thread that haven't been removed: ``settled`` must not remove what another thread makes."""
+
+    def __init__(self):
+        self.paths: dict[str, None] = {}
+
+
+_live = _Live()
 
 
 def _remove(spark: SparkSession, paths: Iterable[str]) -> None:
     for path in paths:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-        if path in _live:
-            _live.remove(path)
+        _live.paths.pop(path, None)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -75,9 +81,9 @@ def discard(*tables: DataFrame) -> None:
 
 def settled(name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The stored result of ``make``; the tables that were stored to make it are removed, since nothing else reads them."""
-    before = set(_live)
+    before = set(_live.paths)
     out = stored(make(), name)
-    _remove(out.sparkSession, [p for p in _live if p not in before and p != out._stored_at])
+    _remove(out.sparkSession, [p for p in _live.paths if p not in before and p != out._stored_at])
     return out
 
 

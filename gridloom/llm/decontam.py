@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Every run of ``n`` words of a benchmark item is a phrase.  Words are counted over the corpus.  Of each phrase so many of the
-rarest terms are its anchors that they would hardly meet by chance, two at least.  The index holds the postings
+Every run of ``n`` words of a benchmark item is a phrase.  Words are counted over the corpus.  Of each phrase the two
+rarest terms are its anchors, and further ones where the places at which those would meet by chance cost more than one more list.  The index holds the postings
 (document, position) of the anchors alone: no other list is ever read.  A phrase's lists are intersected after taking
 off the terms' offsets, and the few places that are left are verified against the words of the few documents that have them.
 Near matches may lack some words, so they are looked for at so many of a phrase's rarest terms that
@@ -22,6 +22,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 1_000_000
 #: Words that the queries let a near match go beyond a phrase's length on either side.
 SLOP = 2
+#: How many postings cost as much as a place that must be verified: a further list of a phrase is read if it saves more.
+PLACE_COST = 50
 #: Words of a document that are looked at in one piece for near matches.
 PIECE = 256
 PLACES = "array<struct<start:int,size:int,phrase_id:bigint>>"
@@ -78,7 +80,7 @@ def _text_hash() -> Column:
 def _anchors(terms: DataFrame, counts: DataFrame) -> DataFrame:
     """(term, pid, off, size, rank, anchors): the rarest terms of the phrases whose words all occur.
 
-    They are so many that chance would let them meet at one place of the corpus at most, two at least.
+    Two, and a further one where verifying the places at which those before it would meet by chance costs more than its list.
     """
     per_phrase = Window.partitionBy("pid")
     known = terms.join(counts, "term").withColumn("found", F.count("*").over(per_phrase)).filter("found = size")  # else a word is nowhere
@@ -86,7 +88,7 @@ def _anchors(terms: DataFrame, counts: DataFrame) -> DataFrame:
     by_rank = per_phrase.orderBy("count", "off")
     chance = F.sum(F.log(F.col("count") / whole)).over(by_rank.rowsBetween(Window.unboundedPreceding, -1)) + F.log(F.lit(float(whole)))
     ranked = known.withColumn("rank", F.row_number().over(by_rank)).withColumn("chance", chance)
-    return ranked.filter((F.col("rank") <= 2) | (F.col("chance") > 0)).withColumn("anchors", F.count("*").over(per_phrase)).select("term", "pid", "off", "size", "rank", "anchors")
+    return ranked.filter((F.col("rank") <= 2) | (F.col("chance") + F.log(F.lit(float(PLACE_COST))) > F.log("count"))).withColumn("anchors", F.count("*").over(per_phrase)).select("term", "pid", "off", "size", "rank", "anchors")
 
 
 def _exact(docs: DataFrame, table: DataFrame, terms: DataFrame, counts: DataFrame) -> DataFrame:

@@ -127,3 +127,26 @@ def test_ties_and_repeats(spark):
     docs = rows(spark, same)
     assert {r["component_id"] for r in simhash.near_duplicates(docs).filter("doc_id < 4").collect()} == {0}
     assert quality.assess(docs).count() == 6 and decontam.find(docs, empty(spark).selectExpr("doc_id item_id", "text")).count() == 6
+
+
+def test_tables_go_once_their_result_is_stored(spark):
+    import os
+
+    folder = f"{common.shared_dir(spark).removeprefix('file:')}/tables"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    docs = rows(spark, made_up(1, 20))
+    assert simhash.near_copies(docs).count() == 20 and decontam.find(docs, docs.selectExpr("doc_id item_id", "text")).count() == 20
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before if not n.endswith(".crc")}
+    assert left == {"signs", "roots", "found"}
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)

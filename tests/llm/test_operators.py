@@ -311,7 +311,9 @@ def test_rows_that_repeat_an_id_are_one_document(spark):
 
 
 # --------------------------------------------------------------------------------------------------- decontamination
-def test_hits_agree_with_python(spark):
+@pytest.mark.parametrize("cost", [0, 50, 10**9])
+def test_hits_agree_with_python(spark, monkeypatch, cost):
+    monkeypatch.setattr(decontam, "PLACE_COST", max(cost, 1e-9))
     rng = random.Random(11)
     items = [*made_up(12, 30, 40), "the same words the same words the same words the same", None, "", "...", "Short one"]
     texts = [*ODD]
