@@ -287,6 +287,9 @@ def area_raster(projection: MapProjection) -> Formula:
         x0, x1, y0, y1 = np.nanmin(x), np.nanmax(x), np.nanmin(y[np.isfinite(y)]), np.nanmax(y[np.isfinite(y)])
         if crs.lookup(projection.name).kind == "utm":
             x0, x1, y0, y1 = 166_000, 834_000, 0, 9_400_000
+        if crs.lookup(projection.name).kind == "equal azimuth":
+            x, y = crs.from_lonlat(projection.name, [-35.58, 44.83, -35.58, 44.83, 10], [24.6, 24.6, 84.73, 84.73, 84.73])
+            x0, x1, y0, y1 = x.min(), x.max(), y.min(), y.max()
         top, bottom = (y1, y0) if ys < 0 else (y0, y1)
         first, last = math.floor(x0 / xs), math.ceil(x1 / xs)
         upper, lower = math.floor(top / ys), math.ceil(bottom / ys)
