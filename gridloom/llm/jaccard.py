@@ -30,6 +30,8 @@ from gridloom.llm.shingles import lower_words, majority, shingle_hashes
 OFTEN, SAMPLE, MARKS = 2, 8, 24
 #: In buckets up to this size all pairs are held against each other at once.
 SMALL = 64
+#: A task holds no more than about so many sets of a bucket at a time; larger ones are cut.
+BLOCK = 20_000
 BROADCAST_ROWS = 200_000
 #: 64-bit words of the parities that pairs are held against each other by.
 WIDE = 16
@@ -130,11 +132,11 @@ def signs(docs: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
 def _meet(percent: int):
     """Arrow function over entries (key, size, sh, at) sorted by these: pairs (u, v) that may be similar by ``_fit``.
 
-    All pairs of small buckets; of the others each set v with the middle one u, with the key as ``open``.
+    All pairs of small buckets; of the others, by parts of BLOCK sets, each set v with the middle one u, with the key as ``open``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, sh, place in _buckets(batches, ["key", "size", "sh", "at"]):
+        for key, size, sh, place in _buckets(batches, ["key", "size", "sh", "at"], BLOCK):
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
             short = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
@@ -162,22 +164,22 @@ def _fit(n, i, m, j, percent: int):
 
 
 def _cross(percent: int):
-    """Arrow function over entries (key, size, sh, at, root, w0 ...) of the larger buckets: the pairs (u, v) of different
-    components that may be similar by ``_fit`` and by their parities.
+    """Arrow function over entries (key, size, sh, at, root, far, home, w0 ...) of parts of the larger buckets: the pairs
+    (u, v) of different components that may be similar by ``_fit`` and by their parities.
 
-    One of a pair is outside the bucket's largest component, so only those sets look for others.
+    far: the set is outside its bucket's largest component.  One of a pair is, so only those sets look for others; they come
+    to every part of the bucket, the others only to one, their home.
     """
-    names = ["key", "size", "sh", "at", "root", *(f"w{i}" for i in range(WIDE))]
+    names = ["key", "size", "sh", "at", "root", "far", "home", *(f"w{i}" for i in range(WIDE))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, sh, place, root, *wide in _buckets(batches, names):
+        for key, size, sh, place, root, far, home, *wide in _buckets(batches, names, None):
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for a, m in zip(starts.tolist(), np.diff(np.r_[starts, len(key)]).tolist(), strict=True):
                 n, s, p, r, w = size[a : a + m], sh[a : a + m], place[a : a + m], root[a : a + m], [x[a : a + m] for x in wide]
-                roots, counts = np.unique(r, return_counts=True)
-                out = r != roots[counts.argmax()]
+                out, here = far[a : a + m] == 1, home[a : a + m] == 1
                 for i in np.flatnonzero(out).tolist():
-                    near = np.flatnonzero((r != r[i]) & (~out | (np.arange(m) > i)) & _fit(n, p, n[i], p[i], percent))
+                    near = np.flatnonzero((r != r[i]) & here & (~out | (s > s[i])) & _fit(n, p, n[i], p[i], percent))
                     apart = sum(np.bitwise_count((x[near] ^ x[i]).view(np.uint64)).astype(np.int64) for x in w)  # of signed numbers it counts otherwise
                     near = near[apart <= n[near] + n[i] - 2 * _shared(n[near] + n[i], percent)]
                     if len(near):
@@ -191,8 +193,11 @@ def _pairs(u, v, key) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), opened], ["u", "v", "open"])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays of the columns (key, size, sh and others) of rows sorted by these, each set once under a key, cut between keys only."""
+def _buckets(batches: Iterator[pa.RecordBatch], names: list[str], most: int | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of the columns (key, size, sh and others) of rows sorted by these, each set once under a key.
+
+    They are cut between keys, and where a key has more than ``most`` rows, also there.
+    """
     held: list[list[np.ndarray]] = []
 
     def whole() -> tuple[np.ndarray, ...]:
@@ -211,6 +216,9 @@ def _buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tu
             yield whole()
             held = []
         held.append([p[last:] for p in part])
+        if most is not None and sum(len(p[0]) for p in held) > most:
+            yield whole()
+            held = []
     if held:
         yield whole()
 
@@ -273,5 +281,11 @@ def links(docs: DataFrame, signs: DataFrame, sets: DataFrame, known: DataFrame,
     tree = known.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     roots = stored(components(tree.union(found)), "jaccard-roots")
     rest = flat.join(joinable(opened, BROADCAST_ROWS), "key").join(roots, flat.sh == roots.node, "left").withColumn("root", F.coalesce("root", "sh")).drop("node")
-    more = rest.repartition("key").sortWithinPartitions(*order).mapInArrow(_cross(percent), "u long, v long, open long").select("u", "v")
+    by_root = rest.groupBy("key", "root").agg(F.count("*").alias("sets"))
+    tops = by_root.groupBy("key").agg(F.max_by("root", "sets").alias("top"), F.ceil(F.sum("sets") / BLOCK).alias("parts"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    far, own = F.col("root") != F.col("top"), F.pmod(F.xxhash64("sh"), F.col("parts"))
+    parts = F.when(far, F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array(own))
+    dealt = rest.join(joinable(stored(tops, "tops"), BROADCAST_ROWS), "key").withColumns({"far": far.cast("int"), "own": own}).withColumn("part", F.explode(parts))
+    dealt = dealt.withColumns({"key": F.xxhash64("key", "part"), "home": (F.col("part") == F.col("own")).cast("int")}).drop("top", "parts", "part", "own")
+    more = dealt.repartition("key").sortWithinPartitions(*order).mapInArrow(_cross(percent), "u long, v long, open long").select("u", "v")
     return found.union(_verified(more, sets, roots, docs, shingle, seed, percent))

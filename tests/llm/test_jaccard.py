@@ -36,9 +36,9 @@ def plain(texts):
     return dict(enumerate(range(len(texts)))) | {i: g[0] for g in components_of(near) for i in g}
 
 
-@pytest.mark.parametrize(("small", "often", "sample"), [(64, 2, 8), (2, 3, 1), (3, 1000, 1)])
+@pytest.mark.parametrize(("small", "often", "sample"), [(64, 2, 8), (2, 3, 1), (3, 1000, 1), (0, 1000, 1)])
 def test_components_agree_with_all_pairs(spark, monkeypatch, small, often, sample):
-    for name, value in (("SMALL", small), ("OFTEN", often), ("SAMPLE", sample)):
+    for name, value in (("SMALL", small), ("OFTEN", often), ("SAMPLE", sample), ("BLOCK", 20_000 if small > 3 else 5)):
         monkeypatch.setattr(jaccard, name, value)
     texts = [*ODD, *copies(7)]
     expected = plain(texts)
