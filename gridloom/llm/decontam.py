@@ -1,11 +1,11 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Every run of ``n`` words of a benchmark item is a phrase.  Words are counted over the corpus.  Of each phrase the two
-rarest terms are its anchors, and further ones where the places at which those would meet by chance cost more than one more list.  The index holds the postings
-(document, position) of the anchors alone: no other list is ever read.  A phrase's lists are intersected after taking
-off the terms' offsets, and the few places that are left are verified against the words of the few documents that have them.
-Near matches may lack some words, so they are looked for at so many of a phrase's rarest terms that
-one of them is there, and held against the words around at once: no list of theirs is shuffled.  Only built-in
+Every run of ``n`` words of a benchmark item is a phrase.  Words are counted over the corpus.  Of each phrase the two rarest
+terms are its anchors, and further ones where the places at which those would meet by chance cost more than one more list.
+The index holds the postings (document, position) of the anchors alone: no other list is ever read.  A phrase's lists are
+intersected after taking off the terms' offsets, and the few places that are left are verified against the words of the few
+documents that have them.  Near matches may lack some words, so they are looked for at so many of a phrase's rarest terms
+that one of them is there, and held against the words around at once: no list of theirs is shuffled.  Only built-in
 functions are used.  Texts are shuffled only if the documents with places are too many to be broadcast by their ids.
 """
 

@@ -96,6 +96,41 @@ _CLASS = {name: f"(length(t) - length(regexp_replace(t, '{pattern}', '', 'g')))"
 _CLASS["other"] = f"(length(t) - {' - '.join(_CLASS.values())})"
 _KEYS = ", ".join(f"'{w}'" for w in quality._WORDS)
 _LANGUAGES = ", ".join(f"'{lang}'" for lang in sorted(quality.COMMON_WORDS))
+
+
+def _matches(name: str, pattern: str, least: int = 0, group: int = 0) -> str:
+    """SQL: (id, a, z, value) of the leftmost matches of a pattern in docs, those with a group of fewer characters left out."""
+    p = pattern.replace("'", "''")
+    return f"""{name}_found as (select id, regexp_extract_all(t, '{p}') as found, regexp_extract_all(t, '{p}', {group}) as own, regexp_split_to_array(t, '{p}') as gaps from docs),
+        {name}_each as (
+            select id, own[i] as value, length(found[i]) as n,
+                   list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) as a
+            from (select *, unnest(range(1, len(found) + 1)) as i from {name}_found)),
+        {name} as (select id, cast(a as bigint) as a, cast(a + n as bigint) as z, value from {name}_each where length(value) >= {least})"""
+
+
+def _entropy(name: str, kind: secrets.CharClass, must: list[str], old: str) -> str:
+    """SQL: (id, a, z) of what the spans ``old`` leave of the entropy spans of a class."""
+    w = secrets.WINDOW
+    allow = " or ".join(f"regexp_matches(value, '{p}')" for p in secrets.ALLOW)
+    return f"""{_matches(name + "_runs", f"{kind.run}{{{w},}}")},
+        {name}_windows as (
+            select id, a, e, list_transform(range(e - {w - 1}, e + 1), lambda i: value[i]) as chars
+            from (select *, unnest(range({w}, length(value) + 1)) as e from {name}_runs where {" and ".join(f"regexp_matches(value, '{m}')" for m in must)} and not ({allow}))),
+        {name}_high as (
+            select id, a, e from {name}_windows where log2({w}) - list_sum(list_transform(list_distinct(chars),
+                lambda c: len(list_filter(chars, lambda x: x = c)) * log2(len(list_filter(chars, lambda x: x = c))))) / {w} >= {kind.bits}),
+        {name}_whole as (select id, a + min(e) - {w} as a, a + max(e) as z from {name}_high group by id, {name}_high.a),
+        {name}_met as (
+            select n.id, n.a, n.z, o.a as s, o.z as e, max(o.z) over (partition by n.id, n.a order by o.a, o.z rows between unbounded preceding and 1 preceding) as before
+            from {name}_whole n left join {old} o on n.id = o.id and o.a < n.z and n.a < o.z),
+        {name} as (
+            select id, x as a, y as z from (
+                select id, greatest(coalesce(before, a), a) as x, s as y from {name}_met where s is not null
+                union all select id, greatest(coalesce(max(e), a), a), z from {name}_met group by id, a, z)
+            where y - x >= {secrets.REST})"""
+
+
 #: The shard of each slot as two hexadecimal digits.
 _TABLE = "".join(f"{i:02x}" for i in sharding.lookup_table(SHARDS).tolist())
 
@@ -170,6 +205,27 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(array_to_string(i.items, ','), '')) as items_sha256,
                coalesce(h.n, 0) > 0 as contaminated, coalesce(n.n, 0) as n_near
         from docs d left join hit_words h on d.doc = h.doc left join hit_items i on d.doc = i.doc left join near n on d.doc = n.doc""",
+    "op2_secrets": f"""
+        with docs as (select row_number() over () as id, doc_id, coalesce(text, '') as t from documents),
+        {_matches("assign", secrets.ASSIGN, 6, 2)},
+        {_matches("access", "AKIA[A-Z0-9]+", 20)},
+        {_matches("hex", "[0-9a-f]+", 24)},
+        base as (
+            select id, a, z, 0 as kind, 'assign' as name from assign union all select id, a, z, 1, 'access' from access
+            union all select id, a, z, 2, 'hex' from hex),
+        {_entropy("first", secrets.CLASSES[0], ["[0-9]", "[A-Fa-f]"], "base")},
+        old as (select id, a, z from base union all select id, a, z from first),
+        {_entropy("second", secrets.CLASSES[1], ["[0-9].*[0-9]", "[a-z]", "[A-Z]"], "old")},
+        every as (
+            select * from base union all select id, a, z, 3, 'entropy' from first union all select id, a, z, 3, 'entropy' from second),
+        written as (
+            select id, count(*) filter (kind = 0) as n0, count(*) filter (kind = 1) as n1, count(*) filter (kind = 2) as n2,
+                   string_agg(name || ':' || a || ':' || z, ',' order by a, kind, z) filter (kind < 3) as base,
+                   string_agg(name || ':' || a || ':' || z, ',' order by a, kind, z) as spans
+            from every group by id)
+        select doc_id, coalesce(n0, 0) as n_assign, coalesce(n1, 0) as n_access, coalesce(n2, 0) as n_hex,
+               sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from docs d left join written w on d.id = w.id""",
     "op5_quality": rf"""
         with docs as (
             select row_number() over () as id, doc_id, lang, coalesce(text, '') as t,
