@@ -6,7 +6,7 @@ import re
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +127,13 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches of few rows, so that few texts are held as Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def ascii_lower(col: Column | str) -> Column:
     """Lower-case A-Z only.
 

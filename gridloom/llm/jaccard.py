@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import joinable, settled, stored
+from gridloom.llm.common import joinable, settled, slices, stored
 from gridloom.llm.components import components
 from gridloom.llm.shingles import lower_words, majority, shingle_hashes
 
@@ -74,7 +74,7 @@ def _late(docs: DataFrame, shingle: int, seed: int, percent: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             parts = [none]
             for text in batch.column("text").to_pylist():
                 own = np.unique(shingle_hashes(lower_words(text), shingle, seed))
@@ -100,7 +100,7 @@ def signs(docs: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
         import xxhash
 
         given: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             fps, sets, sizes, prefixes, wide = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 every = shingle_hashes(lower_words(text), shingle, seed)
@@ -227,7 +227,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, known: DataFrame, docs: DataFra
     """Those of the pairs (u, v) of sets that aren't in one component of ``known`` and whose similarity is percent / 100 or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             seen: dict[str | None, np.ndarray] = {}
 
             def of(text: str | None) -> np.ndarray:

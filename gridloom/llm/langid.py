@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gridloom.llm.common import discard, stored
+from gridloom.llm.common import discard, slices, stored
 
 UNDETERMINED = "und"
 
@@ -211,22 +211,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                texts = part.column("text").to_pylist()
-                good = [i for i, t in enumerate(texts) if t and model.languages and any(map(str.isalpha, t))]
-                names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-                coded = [texts[i].encode() for i in good]
-                if coded:
-                    bits = model.code_lengths(coded)
-                    best = bits.argmin(axis=1)
-                    for i, b, row, data in zip(good, best.tolist(), bits, coded, strict=True):
-                        names[i] = model.languages[b]
-                        gap = (row - row[b]) * min(1.0, 64 / len(data))
-                        scores[i] = float(1 / np.exp2(-np.minimum(gap, 200)).sum())
-                columns = [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score"])
+        for part in slices(batches):
+            texts = part.column("text").to_pylist()
+            good = [i for i, t in enumerate(texts) if t and model.languages and any(map(str.isalpha, t))]
+            names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            coded = [texts[i].encode() for i in good]
+            if coded:
+                bits = model.code_lengths(coded)
+                best = bits.argmin(axis=1)
+                for i, b, row, data in zip(good, best.tolist(), bits, coded, strict=True):
+                    names[i] = model.languages[b]
+                    gap = (row - row[b]) * min(1.0, 64 / len(data))
+                    scores[i] = float(1 / np.exp2(-np.minimum(gap, 200)).sum())
+            columns = [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score"])
 
     return frame.mapInArrow(run, schema)
 

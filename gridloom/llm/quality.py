@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import slices, stored
 
 # Very common words of each language.
 COMMON_WORDS = {
@@ -90,7 +90,7 @@ def _measured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
         names = [x.split()[0] for x in _MEASURES.split(", ")]
-        for batch in batches:
+        for batch in slices(batches):
             columns = list(zip(*map(measure, batch.column("text").to_pylist()), strict=True)) or [()] * 7
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("lang"), *arrays], ["doc_id", "lang", *names])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import jaccard
-from gridloom.llm.common import settled, stored
+from gridloom.llm.common import settled, slices, stored
 from gridloom.llm.components import components
 from gridloom.llm.shingles import lower_words, majority, shingle_hashes
 
@@ -34,7 +34,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame
     """(doc_id, fp): the fingerprint of every text as a signed long.  A null text has no words: fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [majority(shingle_hashes(lower_words(t), shingle, seed)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
