@@ -23,7 +23,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     Plan: the keys of long lines (hashes only) are stored; two partial aggregates count documents, first by key
     and document, then by key, so that a line of every page reaches no single task; the few frequent
     keys are stored and joined back (by broadcast if they are small, else by a shuffle that adaptive execution splits
-    where a key is hot) to give each text the positions to drop, and the texts move once, in the last join.
+    where a key is hot) to give each text the positions to drop.  These grow with the corpus and take little room as a
+    file, which says nothing of their size in memory, so the last join is a merge at every size; the texts move once, in it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     line = F.trim(F.col("line"), F.lit(SPACE))
@@ -48,7 +49,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     dropped = settled("dropped-lines", found)
     rows = docs.drop("n_lines", "n_dropped", "text").columns
     whole = docs.select(*rows, text.alias("text"))
-    met = whole.join(dropped, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left")
+    met = whole.join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     rebuilt = F.array_join(F.transform(kept, lambda i: F.get(F.col(own), i)), "\n")

@@ -310,6 +310,15 @@ def test_rows_that_repeat_an_id_are_one_document(spark):
     assert sorted(r["n_dropped"] for r in linededup.dedup_lines(same, min_docs=2).collect()) == [0, 0, 0, 1, 1]
 
 
+def test_positions_to_drop_are_never_broadcast(spark):
+    shared = [f"this line is shared by all of the documents, number {i}" for i in range(2000)]
+    texts = ["\n".join([f"own {d}", *shared]) for d in range(8)]
+    out = linededup.dedup_lines(rows(spark, texts))  # a few KB as a file, but it grows with the corpus
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in out.collect()} == brute.lines(list(enumerate(texts)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # --------------------------------------------------------------------------------------------------- decontamination
 @pytest.mark.parametrize("cost", [0, 50, 10**9])
 def test_hits_agree_with_python(spark, monkeypatch, cost):
