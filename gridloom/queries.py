@@ -25,6 +25,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def parts_of(rows: int) -> int:
+    """How many parts to deal rows to whose groups are about as many as they are.
+
+    A task's memory is that of one part: 2^18 rows up to 200 parts, which Spark writes without sorting them, then up to 2^21.
+    """
+    return max(1, min(-(-rows >> 18), 200), -(-rows >> 21))
+
+
 class Grids:
     """The layers, made when they are asked for."""
 
@@ -72,9 +80,11 @@ class Grids:
 
     @property
     def tall(self):
-        rows = self.table("lineitem").groupBy(F.col("l_orderkey").alias("y"), F.col("l_linenumber").cast("bigint").alias("x")).agg(F.sum("l_quantity").alias("v"))
-        top = self.table("lineitem").agg(F.max("l_orderkey"), F.max("l_linenumber")).first()
-        return g.from_table(rows, "v", Window(0, 0, top[1] + 1, top[0] + 1), UNIT)
+        lines = self.table("lineitem")
+        top = lines.agg(F.max("l_orderkey"), F.max("l_linenumber"), F.count("*")).first()
+        cells = lines.select(F.col("l_orderkey").alias("y"), F.col("l_linenumber").cast("bigint").alias("x"), "l_quantity")
+        rows = cells.repartition(parts_of(top[2]), "y", "x").groupBy("y", "x").agg(F.sum("l_quantity").alias("v"))
+        return g.from_table(rows, "v", Window(0, 0, top[1] + 1, top[0] + 1), UNIT, key=("tall", self.dir))
 
     def rects(self, burn="s_nationkey", where: str | None = None):
         h = self.height
