@@ -1,8 +1,13 @@
-"""What a task holds is bounded: rows are dealt to parts of a bounded size, and equal tables are read and grouped once."""
+"""What a task holds is bounded: rows are dealt to parts of a bounded size, equal tables are read and grouped once, and
+what may be large is not broadcast."""
 
+import numpy as np
 import pytest
 
-from gridloom import queries
+import gridloom as g
+from gridloom import MapProjection, queries
+from gridloom.plans import layer as layers
+from gridloom.plans.geometry import Window
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +32,46 @@ def test_the_tall_grid_is_grouped_once_in_bounded_parts(spark, monkeypatch):
     assert plan.count("RepartitionByExpression") == 1 and "], 7" in plan
     own = spark.read.parquet(f"{SF}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg({"l_quantity": "sum"})
     assert out.first()[0] == own.filter("`sum(l_quantity)` > 50").agg({"sum(l_quantity)": "sum"}).first()[0]
+
+
+P, HALF, DOUBLE = (MapProjection("ESRI:54009", step, -step) for step in (1.0, 0.5, 2.0))
+
+
+@pytest.mark.parametrize("name", ["rescale_nearest_up", "rescale_nearest_down", "rescale_avg", "rescale_med", "rescale_sum", "rescale_sum_up"])
+def test_a_rescaled_layer_that_fills_its_area_is_not_joined(spark, name):
+    assert "Join" not in plan_of(queries.QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("method", [g.ResamplingMethod.Nearest, g.ResamplingMethod.Sum])
+@pytest.mark.parametrize("step", [0.3, 0.5, 0.7, 1.5, 2.0, 3.0])
+@pytest.mark.parametrize(("x0", "y0"), [(0, 0), (1, -1), (-4, 5)])
+def test_every_pixel_of_a_rescaled_layer_has_one_row(spark, method, step, x0, y0):
+    x = np.arange(1.0, 13).reshape(3, 4)
+    out = g.from_array(x, (x0, y0), P).as_projection(MapProjection("ESRI:54009", step, -step), method)
+    w = out.window
+    rows = out.frame().collect()
+    assert sorted((r["y"], r["x"]) for r in rows) == [(y, x) for y in range(w.yoff, w.yend) for x in range(w.xoff, w.xend)]
+    if method is g.ResamplingMethod.Sum:
+        assert sum(r["v"] for r in rows) == pytest.approx(x.sum())
+    else:
+        centre = lambda n, edge: np.floor((n + 0.5) * step + 1e-9).astype(int) - edge
+        for r in rows:
+            i, j = centre(r["y"], -y0), centre(r["x"], x0)
+            assert r["v"] == (x[i, j] if 0 <= i < 3 and 0 <= j < 4 else 0)
+
+
+def test_beyond_its_area_a_rescaled_layer_is_zero(spark):
+    half = g.from_array(np.ones((2, 2)), (0, 0), P).as_projection(HALF)
+    assert half.dense and half.read_array(-1, -1, 6, 6).tolist() == np.pad(np.ones((4, 4)), 1).tolist()
+
+
+@pytest.mark.parametrize("what", ["lattice", "spine", "warp"])
+def test_large_windows_are_not_broadcast(spark, monkeypatch, what):
+    monkeypatch.setattr(layers, "MOST_BROADCAST", 15)
+    a = g.from_array(np.arange(16.0).reshape(4, 4), (0, 0), P)
+    rows = spark.createDataFrame([(0, 1, 5.0)], "y long, x long, v double")
+    sparse = g.from_table(rows, "v", Window(0, 0, 4, 4), P)
+    out = {"lattice": sparse, "spine": a * sparse, "warp": a.as_projection(MapProjection("EPSG:4326", 1e-5, -1e-5))}[what]
+    plan = out.frame()._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "BroadcastHashJoin" not in plan
+    assert out.sum() == {"lattice": 5, "spine": 5, "warp": pytest.approx(out.array().sum())}[what]
