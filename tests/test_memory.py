@@ -75,3 +75,26 @@ def test_large_windows_are_not_broadcast(spark, monkeypatch, what):
     plan = out.frame()._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "BroadcastHashJoin" not in plan
     assert out.sum() == {"lattice": 5, "spine": 5, "warp": pytest.approx(out.array().sum())}[what]
+
+
+@pytest.mark.parametrize("method", list(g.ResamplingMethod))
+@pytest.mark.parametrize(("across", "down"), [(2, 2), (3, 1), (1, 5), (10, 4)])
+def test_targets_inside_one_source_pixel_need_no_aggregate(spark, method, across, down):
+    x = np.array([[1.5, -2.0, np.nan], [0.0, 7.25, -1e9]])
+    out = g.from_array(x, (-2, 5), P).as_projection(MapProjection("ESRI:54009", 1 / across, -1 / down), method)
+    assert "Aggregate" not in plan_of(out.frame())
+    value = {"Sum": x / (across * down), "RootMeanSquare": abs(x)}.get(method.name, x)
+    np.testing.assert_allclose(out.array(), np.kron(value, np.ones((down, across))), rtol=1e-12)
+
+
+@pytest.mark.parametrize("step", [0.4, 0.5 + 1e-6, 1.0 / 3 + 1e-4, 1.5])
+def test_targets_across_source_pixels_are_aggregated(spark, step):
+    x = np.arange(1.0, 7).reshape(2, 3)
+    from gridloom.operators.regrid import Reprojected
+
+    target = MapProjection("ESRI:54009", step, -step)
+    layer = g.from_array(x, (300, -700), P)
+    out = Reprojected(layer, target, g.ResamplingMethod.Sum)
+    assert "Aggregate" in plan_of(out.frame())
+    assert out.sum() == pytest.approx(x.sum())
+    assert out.frame().count() == out.window.xsize * out.window.ysize
